@@ -82,9 +82,9 @@ class Model:
         raw = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "replace"), "<u4")
         ends = np.cumsum([len(t) + 1 for t in texts])
         codes = np.where(raw < 0x10000, self.codes[np.minimum(raw, 0xFFFF)], OTHER).astype("uint8")
-        first = np.zeros(len(codes), bool)
-        first[ends[:-1]] = True
-        keep = (codes != BLANK) | ~np.concatenate([[True], codes[:-1] == BLANK]) | first
+        after_blank = np.concatenate([[True], codes[:-1] == BLANK])
+        after_blank[ends[:-1]] = True  # each text begins anew
+        keep = (codes != BLANK) | ~after_blank
         sums = np.cumsum(keep)
         return codes[keep], np.diff(np.concatenate([[0], sums[ends - 1]]))
 
