@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import patterns
-from tidewater.operators import activity, facts, state
+from tidewater.operators import activity, facts, feed, lift, state
 from tidewater.plans import catalog
 from tidewater.plans.sandbox import Refused, gate, run_sql
 from tidewater.plans.spec import Spec, compile_filter, problems
@@ -98,6 +98,37 @@ def test_framed_file_and_upsert(spark, tmp_path):
     assert sorted(tuple(r) for r in files.upsert(a, b, "k", "v").collect()) == [(1, 2), (2, 5)]
 
 
+def test_shortlist_folds_copies_and_spreads_authors(spark):
+    rows = [(1, "a", 9, "Same  text"), (2, "b", 7, "same text!"), (3, "a", 8, "x"), (4, "a", 6, "y"), (5, "c", 5, None), (6, "c", 5, "z")]
+    df = spark.createDataFrame(rows, "id long, author string, likes long, text string")
+    got = feed.shortlist(df, "id", patterns.folded(F.col("text")), "author", "likes").collect()
+    assert [(r.id, r.echoes) for r in got] == [(1, 1), (3, 0), (5, 0), (6, 0)]
+    with pytest.raises(ValueError):
+        feed.page(df, "best")
+
+
+def test_replay_clock_frames_and_clipping(spark):
+    df = spark.createDataFrame([(0.0,), (10.0,), (20.0,), (40.0,)], "s double")
+    assert [r[0] for r in df.select(feed.delivery(F.col("s"), 10, [(1, 3), (5, 6)])).collect()] == [0.0, 1.0, 4.0, 7.0]
+    texts = spark.createDataFrame([("a b. c d e. f",), ("",), (None,)], "t string")
+    got = [r[0] for r in texts.select(feed.clipped(F.col("t"), 4)).collect()]
+    assert (got[0].kept, got[0].n) == (1, 2) and got[1].kept == 1 and got[2] is None
+    assert feed.tier(30_000_000) == "exact" and feed.tier(30_000_001) == "sample"
+    assert feed.run_status(10, 5) == "FAILED" and feed.run_status(10, 6) == "READY"
+
+
+def test_lift_follows_the_mix_alone(spark):
+    totals = spark.createDataFrame([(1, "x", 100), (1, "y", 0), (2, "x", 0), (2, "y", 100)], "day int, lang string, n_all long")
+    counts = spark.createDataFrame([("t", 1, "x", 10), ("t", 2, "y", 40)], "topic string, day int, lang string, n long")
+    assert {r.day: (r.expected, r.lift) for r in lift.adjusted_lift(counts, totals, "topic", "day", "lang").collect()} == {1: (10.0, 1.0), 2: (40.0, 1.0)}
+
+
+def test_slug_and_composed(spark):
+    assert patterns.slug("A b!", set()) == "a-b" and patterns.slug("A b", {"a-b", "a-b-2"}) == "a-b-3"
+    df = spark.createDataFrame([("e\u0301",), (None,)], "t string")
+    assert [r[0] for r in df.select(patterns.composed(F.col("t"))).collect()] == ["\u00e9", None]
+
+
 def plain(v):
     if isinstance(v, float):
         return None if v != v else round(v, 6) + 0.0

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = "A-Za-z0-9_"
 
@@ -74,6 +78,24 @@ def key(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
 
 
+def composed(text: Column) -> Column:
+    """Canonical composition (NFC), which no built-in expression has.
+
+    The function is local, so that executors get its code and need no copy of the library.
+    """
+
+    def nfc(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    return F.pandas_udf(nfc, StringType())(text)
+
+
+def slug(name: str, taken: set[str]) -> str:
+    """Letters and digits of a name joined by hyphens; a number follows where the result is taken."""
+    base = re.sub(r"[^a-z0-9]+", "-", name.lower()).strip("-") or "untitled"
+    return next(s for n in itertools.count(1) if (s := base if n == 1 else f"{base}-{n}") not in taken)
+
+
 def dash_folded(text: Column) -> Column:
     return F.translate(F.lower(text), "‐‑‒–—−", "------")
 
