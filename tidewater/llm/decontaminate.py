@@ -118,7 +118,9 @@ def find(docs: DataFrame, items: DataFrame, width: int = WIDTH, similarity: floa
     start = f"flatten(transform(filter(p, (x, k) -> coalesce(get(p, k + c - 1) - x < {m}, false)), x -> sequence(greatest(0, x - ({m} - c)), x)))"
     windows = hits.select("doc_id", "base", "n", "item_id", "p", F.expr(need).alias("c")).select("doc_id", "base", "n", F.explode(F.expr(f"array_distinct({start})")).alias("s")).distinct()
     windows = windows.join(places, ["doc_id", "base"]).where("s + n <= size(w)").select("doc_id", "n", (F.col("base") + F.col("s")).alias("start"), F.expr("slice(w, s + 1, n)").alias("w"))
-    windows = windows.select("doc_id", "n", "start", F.expr(f"sort_array({shingles(width)})").alias("own"), F.expr(simhash("w")).alias("fp")).dropDuplicates(["doc_id", "n", "start"])
+    # few bytes but much work: dealt over a set number of tasks, which the planner doesn't coalesce, and each window once
+    windows = windows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "n", "start").dropDuplicates(["doc_id", "n", "start"])
+    windows = windows.select("doc_id", "n", "start", F.expr(f"sort_array({shingles(width)})").alias("own"), F.expr(simhash("w")).alias("fp"))
 
     # fingerprints within the radius, at their first common block
     n = radius + 1
