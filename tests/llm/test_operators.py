@@ -213,6 +213,26 @@ def test_shared_passages(spark):
     assert all(50 <= r.n_words <= 90 for r in got)
 
 
+def test_every_exact_repeat_is_in_a_region(spark):
+    """Against all 50-word windows: loops of few words, passages whose parts stand in other documents first, long runs."""
+    r = random.Random(8)
+    parts = [prose(20, 500 + i).split() for i in range(40)]
+    texts = [sum(r.sample(parts, r.randint(1, 4)), []) for _ in range(60)]
+    texts += [["ha"] * n for n in (49, 50, 52, 300)] + [(parts[0][:c] * 60)[:n] for c in (2, 3, 13, 14, 16) for n in (50, 90, 200)]
+    texts += [t[: r.randint(45, 60)] + prose(15, 700 + i).split() for i, t in enumerate(texts[:20])]
+    got = substring_dedup.find(frame(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()
+    regions = [(x.doc_id, x.start, x.start + x.n_words) for x in got]
+    seen: dict[tuple, int] = {}
+    n = 0
+    for i, t in enumerate(texts):
+        for a in range(len(t) - 49):
+            if seen.setdefault(tuple(t[a : a + 50]), i) != i:
+                n += 1
+                assert any(d == i and x <= a and a + 50 <= y for d, x, y in regions)
+    assert n > 500  # the fixture does hold repeats
+    assert all(y <= len(texts[d]) for d, _, y in regions)
+
+
 def test_chains_by_brute_force():
     r = random.Random(6)
     for _ in range(50):
