@@ -139,6 +139,21 @@ def test_recurring_lines(spark):
     assert all(got[50 + i].n_dropped == 0 for i in range(5))
 
 
+def test_blocks_and_lines_of_copies_recur(spark):
+    notice = [prose(9, 801), prose(9, 802), prose(9, 803)]
+    rows = [(i, "\n".join([prose(12, 100 + i), *notice, prose(12, 200 + i), prose(12, 300 + i)])) for i in range(5)]
+    rows += [(20 + i, "\n".join([prose(12, 400 + i), prose(12, 500 + i), *notice])) for i in range(3)]
+    line = prose(9, 804)
+    rows += [(100 + i, f"{prose(12, 1)}\n{line}\n{prose(12, 2)}") for i in range(40)]  # copies, and few unlike documents
+    rows += [(200 + i, f"{prose(12, 600 + i)}\n{line}\n{prose(12, 700 + i)}") for i in range(4)]
+    copied = [prose(12, 900 + k) for k in range(12)]
+    rows += [(300 + i, "\n".join(prose(12, 1000 + i) if k == i else x for k, x in enumerate(copied))) for i in range(12)]  # near copies
+    got = {r.doc_id: r for r in line_templates.dedupe(frame(spark, rows)).collect()}
+    assert all(got[i].n_dropped == 3 for i in [*range(5), *range(20, 23)])
+    assert all(got[i].n_dropped == 1 and line not in got[i].text for i in [*range(100, 140), *range(200, 204)])
+    assert all(got[300 + i].n_dropped == 0 for i in range(12))
+
+
 def test_fingerprints_and_components_by_brute_force(spark):
     base = [prose(120, s) for s in range(6)]
     r = random.Random(5)

@@ -4,9 +4,11 @@ Each line goes down a tree of fixed levels: its number of tokens, then its leadi
 and never fewer than half. Tokens with a digit are variable fields from the start, and what follows the leading tokens
 is variable too, so lines that differ only there reach the same leaf: their template.
 
-A template recurs if it is in ``min_docs`` documents or more, in as many surroundings as half of these documents at
-least. The surroundings are the templates of the lines before and after; so boilerplate, which stands among other
-lines each time, recurs, and the lines of copied documents, which bring their surroundings along, do not: whole copies
+A template recurs if it is in documents of ``min_docs`` families or more. Each line points to the first text that has its
+template. The family of a document at a line is the text that most of its other words point to, without the run of
+lines about it that point to the same text; where ``COPY`` of all its words point to that text, it is that text. So a
+notice of one or more lines recurs in documents that are otherwise their own, however many copies also hold it; the
+lines of copied documents, whole or changed, all point to the text they were copied from, which is one family: copies
 are the matter of document dedup. All lines of recurring templates are dropped, in every document.
 
 Lines end at ``\\n``. Lines of under ``MIN_TOKENS`` tokens are never dropped.
@@ -15,13 +17,15 @@ A null text has no lines and stays null. Each row counts as a document, repeated
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import SPACE, SPACE_CHARS, Store
 
 DEPTH = 8
 MIN_DOCS = 3
+#: Share of a document's words that make it a copy of the text they point to.
+COPY = 0.8
 #: Lines of fewer tokens say too little to be a template: they recur by chance.
 MIN_TOKENS = 3
 
@@ -37,29 +41,41 @@ def templates(line: Column, depth: int = DEPTH) -> Column:
 
 
 def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Templates that recur, of lines (leaf, around); one row for each leaf in a document."""
-    around = lines.groupBy("leaf", "around").agg(F.count(F.lit(1)).alias("n"))
-    sums = around.groupBy("leaf").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_around"))
-    return sums.where((F.col("n_docs") >= min_docs) & (2 * F.col("n_around") >= F.col("n_docs")))
+    """Templates that recur, of lines (text_key, at, leaf, n); rows of equal texts count once."""
+    lines = lines.groupBy("text_key", "at").agg(F.min("leaf").alias("leaf"), F.min("n").alias("n"))
+    first = lines.groupBy("leaf").agg(F.min("text_key").alias("first"), F.max("text_key").alias("last")).where("first < last").select("leaf", "first")
+    rows = lines.join(first, "leaf", "left").withColumn("shared", F.col("first").isNotNull()).withColumn("first", F.coalesce("first", "text_key"))
+    text = Window.partitionBy("text_key")
+    by_line = text.orderBy("at")
+    rows = rows.withColumn("new", F.when(F.lag("first").over(by_line) == F.col("first"), 0).otherwise(1))
+    rows = rows.withColumn("run", F.sum("new").over(by_line.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("in_run", F.sum("n").over(Window.partitionBy("text_key", "run")))
+    rows = rows.withColumn("words", F.sum("n").over(Window.partitionBy("text_key", "first")))
+    # the two texts that most words of this one point to; of equals, the text itself comes first
+    own = F.col("first") == F.col("text_key")
+    rows = rows.withColumn("top", F.max(F.struct("words", own.alias("own"), "first")).over(text))
+    rows = rows.withColumn("next", F.max(F.when(F.col("first") != F.col("top.first"), F.struct("words", own.alias("own"), "first"))).over(text))
+    rest = F.struct((F.col("words") - F.col("in_run")).alias("words"), own.alias("own"), F.col("first"))
+    other = F.when(F.col("first") == F.col("top.first"), F.col("next")).otherwise(F.col("top"))
+    rows = rows.withColumn("all", F.sum("n").over(text)).where("shared")
+    rows = rows.withColumn("family", F.when(F.col("words") >= F.col("all") * COPY, F.col("first")).otherwise(F.greatest(rest, other)["first"]))
+    rows = rows.groupBy("text_key", "leaf").agg(F.min("family").alias("family"))
+    families = rows.groupBy("leaf", "family").agg(F.count(F.lit(1)).alias("n"))
+    return families.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_families")).where(F.col("n_families") >= min_docs)
 
 
 def with_leaves(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """doc_id and its distinct leaves, each with the leaves about it: ``found`` array<struct<leaf, around>>."""
-    rows = docs.select("doc_id", F.transform(F.split("text", "\n"), lambda x: templates(x, depth)).alias("leaves"))
-    rows = rows.select("doc_id", F.filter("leaves", lambda x: x.isNotNull()).alias("v"))
-    pairs = F.expr("transform(array(v), v -> transform(v, (x, i) -> named_struct('leaf', x, 'around', xxhash64(get(v, i - 1), get(v, i + 1)))))[0]")
-    return rows.select("doc_id", pairs.alias("found"))
+    """doc_id, text_key, and place, leaf and number of words of each line that has a leaf."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), templates(x, depth).alias("leaf"), F.size(F.split(F.trim(x, F.lit(SPACE_CHARS)), SPACE)).alias("n")))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(lines).alias("x"))
+    return rows.select("doc_id", "text_key", "x.at", "x.leaf", "x.n").where("leaf is not null")
 
 
 def dedupe(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
     """All columns of ``docs``, ``text`` without the lines of recurring templates, n_lines and n_dropped."""
     store = Store(docs.sparkSession)
-    seen = with_leaves(docs, depth)
-    # each leaf once in a document, in the least of its surroundings there
-    once = F.expr("transform(array(sort_array(found)), s -> filter(s, (x, i) -> i = 0 OR get(s, i - 1).leaf <> x.leaf))[0]")
-    lines = seen.select("doc_id", F.explode(once).alias("x")).select("doc_id", "x.leaf", "x.around")
-    lines = store.put(lines, "lines")
-    drop = store.put(recurring(lines.select("leaf", "around"), min_docs), "templates")
+    lines = store.put(with_leaves(docs, depth), "lines")
+    drop = store.put(recurring(lines, min_docs), "templates")
     hit = lines.join(drop.select("leaf"), "leaf").groupBy("doc_id").agg(F.collect_set("leaf").alias("bad"))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "bad")]
     rows = docs.select(*rest).join(hit, "doc_id", "left")
