@@ -154,6 +154,13 @@ def test_blocks_and_lines_of_copies_recur(spark):
     assert all(got[300 + i].n_dropped == 0 for i in range(12))
 
 
+def test_short_lines_recur_by_their_full_text(spark):
+    rows = [(i, f"{prose(12, 100 + i)}\nRead  more\n\n{prose(12, 200 + i)}\nPage {i}\n{prose(12, 300 + i)}\nEnd.") for i in range(5)]
+    got = {r.doc_id: r for r in line_templates.dedupe(frame(spark, rows)).collect()}
+    for i, t in rows:
+        assert got[i].n_dropped == 2 and got[i].text.split("\n") == [x for x in t.split("\n") if x not in ("Read  more", "End.")]
+
+
 def test_fingerprints_and_components_by_brute_force(spark):
     base = [prose(120, s) for s in range(6)]
     r = random.Random(5)

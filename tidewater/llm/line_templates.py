@@ -11,7 +11,8 @@ notice of one or more lines recurs in documents that are otherwise their own, ho
 lines of copied documents, whole or changed, all point to the text they were copied from, which is one family: copies
 are the matter of document dedup. All lines of recurring templates are dropped, in every document.
 
-Lines end at ``\\n``. Lines of under ``MIN_TOKENS`` tokens are never dropped.
+Lines end at ``\\n``. Lines of under ``MIN_TOKENS`` tokens are templates by their full text, with no variable fields; lines
+without tokens are never dropped.
 A null text has no lines and stays null. Each row counts as a document, repeated ids included; other columns stay.
 """
 
@@ -26,18 +27,20 @@ DEPTH = 8
 MIN_DOCS = 3
 #: Share of a document's words that make it a copy of the text they point to.
 COPY = 0.8
-#: Lines of fewer tokens say too little to be a template: they recur by chance.
+#: Lines of fewer tokens say too little for variable fields.
 MIN_TOKENS = 3
 
 
 def templates(line: Column, depth: int = DEPTH) -> Column:
-    """The leaf of each line as a 64-bit hash; null for a line of under ``MIN_TOKENS`` tokens."""
+    """The leaf of each line as a 64-bit hash; null for a line without tokens."""
     bare = F.trim(line, F.lit(SPACE_CHARS))
-    plain = F.regexp_replace(F.regexp_replace(bare, SPACE, " "), "[^ ]*[0-9][^ ]*", "<*>")
-    return F.transform(
-        F.array(plain),
-        lambda p: F.transform(F.array(F.size(F.split(p, " "))), lambda n: F.when(n >= MIN_TOKENS, F.xxhash64(n, F.call_function("substring_index", p, F.lit(" "), F.greatest(F.lit(depth), F.ceil(n / 2)).cast("int")))))[0],
-    )[0]
+    even = F.regexp_replace(bare, SPACE, " ")
+
+    def leaf(p: Column, n: Column) -> Column:
+        lead = F.call_function("substring_index", F.regexp_replace(p, "[^ ]*[0-9][^ ]*", "<*>"), F.lit(" "), F.greatest(F.lit(depth), F.ceil(n / 2)).cast("int"))
+        return F.when(p != "", F.xxhash64(n, F.when(n < MIN_TOKENS, p).otherwise(lead)))
+
+    return F.transform(F.array(even), lambda p: F.transform(F.array(F.size(F.split(p, " "))), lambda n: leaf(p, n))[0])[0]
 
 
 def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
