@@ -235,6 +235,29 @@ def test_shared_passages(spark):
     assert all(50 <= r.n_words <= 90 for r in got)
 
 
+def changed(words, ats):
+    return [f"new{j}" if j in ats else w for j, w in enumerate(words)]
+
+
+def test_chains_are_cut_at_unlike_gaps():
+    two = [changed(prose(100, s).split(), {45, 90}) for s in (1, 2)]
+    for gap, expect in ((100, [(0, 100), (200, 300)]), (10, [(0, 210)])):
+        a, b = two[0] + prose(gap, 3).split() + two[1], prose(100, 1).split() + [f"x{i}" for i in range(gap)] + prose(100, 2).split()
+        seg = [(0, 0, 45), (46, 46, 44), (100 + gap, 100 + gap, 45), (146 + gap, 146 + gap, 44)]
+        assert [(x, y) for x, y, _ in substring_dedup.align(a, b, seg, 0.8)] == expect
+
+
+def test_ends_grow_over_changes():
+    own = prose(60, 4).split()
+    for ats in ({8, 52}, {5, 15, 25, 35, 45, 55}):
+        a, b = prose(30, 5).split() + changed(own, ats) + prose(30, 6).split(), prose(40, 7).split() + own + prose(40, 8).split()
+        (x, y, like), = substring_dedup.align(a, b, [(57, 67, 5)], 0.8)
+        assert x <= 32 and y >= 88 and y - x <= 66 and like >= 0.8
+    a = prose(30, 5).split() + own[:10] + ["put", "in"] + own[10:50] + own[51:] + prose(30, 6).split()
+    (x, y, _), = substring_dedup.align(a, b, [(57, 65, 5)], 0.8)
+    assert x <= 32 and y >= 88
+
+
 def test_every_exact_repeat_is_in_a_region(spark):
     """Against all 50-word windows: loops of few words, passages whose parts stand in other documents first, long runs."""
     r = random.Random(8)
