@@ -258,6 +258,25 @@ def test_ends_grow_over_changes():
     assert x <= 32 and y >= 88
 
 
+def test_recall_of_changed_passages(spark):
+    r = random.Random(11)
+    rows, expect = [], {}
+    for i in range(60):
+        own = [f"p{i}-{j}" for j in range(60)]
+        ats = set(r.sample(range(60), 5)) if i % 2 else set(range(5, 60, 10))
+        rows += [(i, f"{prose(40, 3000 + i)} {' '.join(own)} {prose(40, 3100 + i)}"), (100 + i, f"{prose(30, 3200 + i)} {' '.join(changed(own, ats))} {prose(30, 3300 + i)}")]
+        expect[100 + i] = i
+    got = {x.doc_id: x.partners for x in substring_dedup.find(frame(spark, rows)).collect()}
+    assert all(expect[k] in v for k, v in got.items() if k in expect) and len(got) >= 51  # nine in ten; 3 in 4 with seeds of 16
+
+
+def test_a_passage_whose_seeds_are_first_in_another_document(spark):
+    own = prose(60, 77).split()
+    rows = [(1, " ".join([prose(40, 3401), *own[:30], prose(40, 3402)])), (5, " ".join([prose(40, 3403), *own, prose(40, 3404)])), (9, " ".join([prose(40, 3405), *changed(own, {31}), prose(40, 3406)]))]
+    got = {x.doc_id: x for x in substring_dedup.find(frame(spark, rows)).collect()}
+    assert set(got) == {9} and 5 in got[9].partners and got[9].start <= 42 and got[9].start + got[9].n_words >= 98
+
+
 def test_every_exact_repeat_is_in_a_region(spark):
     """Against all 50-word windows: loops of few words, passages whose parts stand in other documents first, long runs."""
     r = random.Random(8)
