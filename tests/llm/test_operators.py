@@ -226,6 +226,16 @@ def test_decontamination_by_brute_force(spark):
     assert got == expect and len(expect) >= 20
 
 
+def test_items_that_overlap_in_one_long_row(spark):
+    w = prose(120, 310).split()
+    items = [(k, " ".join(w[k * 6 : k * 6 + 24])) for k in range(17)]
+    rows = [(1, " ".join([prose(30, 311), *w, prose(30, 312)])), (2, " ".join(w)), (3, " ".join([*w[10:50], "changed", *w[51:90]]))]
+    found = decontaminate.find(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(x.doc_id, x.item_id): x for x in found}
+    assert all(got[1, k].start == 30 + 6 * k and got[2, k].start == 6 * k and got[1, k].similarity == 1 for k in range(17))
+    assert {k for d, k in got if d == 3} >= {2, 3, 4, 9, 10, 11}
+
+
 def test_shared_passages(spark):
     passage = prose(80, 500).split()
     fuzzy = passage[:30] + ["other", "words"] + passage[31:55] + passage[57:]

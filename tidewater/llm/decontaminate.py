@@ -100,14 +100,15 @@ def find(docs: DataFrame, items: DataFrame, width: int = WIDTH, similarity: floa
     size = 1 << max(10, math.ceil(math.log2(16 * max(1, min(n_seeds, BROADCAST_SEEDS)))))
     small = (lambda df: F.broadcast(df)) if max(n_seeds, n_items * (radius + 1)) <= BROADCAST_SEEDS else (lambda df: df)
 
-    # where a row of the items' shingles may begin, with the words about it
+    # where a row of the items' shingles may be, with the words about it; a long row in parts of the longest item's length
     hashed = ", ".join(f"w[i + {k}]" for k in range(width))
     near = f"CASE WHEN size(w) < {width} THEN CAST(array() AS array<int>) ELSE filter(sequence(0, size(w) - {width}), i -> bits[CAST(pmod(xxhash64({hashed}), {size}L) AS INT)]) END"
-    begin = f"filter(p, (x, k) -> (k = 0 OR get(p, k - 1) <> x - 1) AND coalesce(get(p, k + {row - 1}) = x + {row - 1}, false))"
-    about = f"transform(b, x -> named_struct('base', greatest(0, x - {longest}), 'ctx', slice(w, greatest(0, x - {longest}) + 1, {2 * longest + 1})))"
+    runs = f"filter(zip_with(filter(p, (x, k) -> k = 0 OR get(p, k - 1) <> x - 1), filter(p, (x, k) -> coalesce(get(p, k + 1) <> x + 1, true)), (x, e) -> named_struct('x', x, 'e', e)), r -> r.e - r.x + 1 >= {row})"
+    base, end = f"greatest(0, x - {longest})", f"least(r.e, x + {longest}) + {longest + 1}"
+    about = f"flatten(transform(b, r -> transform(sequence(r.x, r.e - {row - 1}, {longest}), x -> named_struct('base', {base}, 'ctx', slice(w, {base} + 1, {end} - {base})))))"
     table = bit_table(seeds, size)
     rows = docs.where("doc_id is not null").select("doc_id", plain_words(F.col("text")).alias("w"), table.scalar().alias("bits"))
-    rows = rows.select("doc_id", F.expr(bound("w", "w", bound("p", near, bound("b", begin, about)))).alias("places"))
+    rows = rows.select("doc_id", F.expr(bound("w", "w", bound("p", near, bound("b", runs, about)))).alias("places"))
     places = rows.select("doc_id", F.explode("places").alias("x")).select("doc_id", "x.base", F.col("x.ctx").alias("w"))
     places = store.put(places.distinct(), "places")
 
