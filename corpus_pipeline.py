@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontaminate, language_id, line_templates, queries, simhash
+from tidewater.llm import decontaminate, language_id, line_templates, minhash, queries, simhash
 from tidewater.llm.common import SPACE_CHARS, Store, fold, table
 
 #: Share of the likeliest language; with four languages and nothing known it is a quarter.
@@ -33,8 +33,13 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies; documents without an id stay."""
-    rest = simhash.group(docs).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    """The document of the smallest id of each group of near copies; documents without an id stay.
+
+    Near copies have fingerprints within the radius of ``simhash``, or 0.8 and more of their 5-word shingles in common.
+    """
+    store = Store(spark)
+    near = simhash.group(docs).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").cast("long").alias("a"), F.col("component_id").cast("long").alias("b"))
+    rest = simhash.components(store, near.unionByName(minhash.links(docs, store)).distinct()).select(F.col("node").alias("doc_id")).distinct()
     once = docs.where("doc_id is not null").join(rest, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 

@@ -325,6 +325,21 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100}
 
 
+def test_near_copies_from_the_similarity_on_leave(spark):
+    import corpus_pipeline
+
+    r, rows, like = random.Random(12), [], {}
+    for i in range(40):
+        own = prose(300, 4000 + i).split()
+        copy = changed(own, set(r.sample(range(300), 2 + i % 12)))
+        x, y = ({tuple(w[j : j + 5]) for j in range(296)} for w in (own, copy))
+        like[100 + i] = len(x & y) / len(x | y)
+        rows += [(i, " ".join(own)), (100 + i, " ".join(copy))]
+    left = {x.doc_id for x in corpus_pipeline.dedupe_documents(spark, frame(spark, rows), "").collect()}
+    assert set(range(40)) <= left and all(k not in left for k, v in like.items() if v >= 0.8)
+    assert sum(v >= 0.8 for v in like.values()) > 15 and any(k in left for k, v in like.items() if v < 0.7)
+
+
 def test_pipeline_keeps_and_drops(spark, tmp_path):
     import corpus_pipeline
 
