@@ -43,10 +43,11 @@ def templates(line: Column, depth: int = DEPTH) -> Column:
     return F.transform(F.array(even), lambda p: F.transform(F.array(F.size(F.split(p, " "))), lambda n: leaf(p, n))[0])[0]
 
 
-def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring(lines: DataFrame, store: Store, min_docs: int = MIN_DOCS) -> DataFrame:
     """Templates that recur, of lines (text_key, at, leaf, n); rows of equal texts count once."""
     lines = lines.groupBy("text_key", "at").agg(F.min("leaf").alias("leaf"), F.min("n").alias("n"))
     first = lines.groupBy("leaf").agg(F.min("text_key").alias("first"), F.max("text_key").alias("last")).where("first < last").select("leaf", "first")
+    first = store.put(first, "first")  # a stored table: its join can be split where a template is hot
     rows = lines.join(first, "leaf", "left").withColumn("shared", F.col("first").isNotNull()).withColumn("first", F.coalesce("first", "text_key"))
     text = Window.partitionBy("text_key")
     by_line = text.orderBy("at")
@@ -78,7 +79,7 @@ def dedupe(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) -> Dat
     """All columns of ``docs``, ``text`` without the lines of recurring templates, n_lines and n_dropped."""
     store = Store(docs.sparkSession)
     lines = store.put(with_leaves(docs, depth), "lines")
-    drop = store.put(recurring(lines, min_docs), "templates")
+    drop = store.put(recurring(lines, store, min_docs), "templates")
     hit = lines.join(drop.select("leaf"), "leaf").groupBy("doc_id").agg(F.collect_set("leaf").alias("bad"))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "bad")]
     rows = docs.select(*rest).join(hit, "doc_id", "left")
