@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidewater.llm import byte_bpe, decontaminate, language_id, line_templates, quality_rules, quality_zstd, simhash, substring_dedup, toxicity, url_filter
-from tidewater.llm.common import Store, fold
+from tidewater.llm.common import Store, fold, sampled
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, fp string, words string, score string, host string, w string"
 rnd = random.Random(3)
@@ -81,29 +81,35 @@ def test_bpe_is_tiktoken():
 
 
 def test_pieces_are_longest_matches():
-    texts = {"x": prose(300, 5), "y": prose(300, 6)[::-1]}
+    r = random.Random(9)
+    texts = {"x": language_id.plain(prose(300, 5)), "y": language_id.plain(prose(300, 6)[::-1] + " 漢字かな交じり文 мир")}
     model = language_id.Model(texts)
-    tables = model.tables()
-    trained = {k: "".join(map(chr, model.encode([v])[0])) for k, v in texts.items()}
-    tests = [prose(80, 7), prose(20, 5), "!!", "", "ö x"]
-    counts, sizes = model.pieces(tests, tables)
-    for j, t in enumerate(tests):
-        codes = "".join(map(chr, model.encode([t])[0]))
-        assert len(codes) == sizes[j]
+    tests = [prose(80, 7), prose(20, 5), "!!", "", "ö x", "漢字 qq 文字", prose(1, 1), prose(3000, 8), "z" * 5000, prose(300, 5) * 4]
+    tests += [" ".join(r.choice([prose(40, 5), prose(40, 6)[::-1], "ßß", "字"]) for _ in range(r.randrange(1, 60))) for _ in range(30)]
+    plain = [language_id.plain(t) for t in tests]
+    counts, sizes = model.pieces(plain)
+    for j, t in enumerate(plain):
+        assert sizes[j] == len(t)
         for k, lang in enumerate(model.langs):
-            n = 0
-            for block in (codes[i : i + language_id.BLOCK] for i in range(0, len(codes), language_id.BLOCK)):
-                at, cut = 0, 1
-                while at < len(block):
-                    to = at
-                    while to < len(block) and block[at : to + 1] in trained[lang]:
+            n = at = 0
+            while at < len(t):
+                to = at + 1
+                if t[at:to] in texts[lang]:
+                    while to < len(t) and t[at : to + 1] in texts[lang]:
                         to += 1
-                    if to == len(block):
-                        break
-                    cut += 1
-                    at = max(to, at + 1) if to == at else to
-                n += cut
-            assert abs(counts[k, j] - n) <= 0.02 * n + 1
+                at, n = to, n + 1
+            assert counts[k, j] == n
+
+
+def test_training_pieces_come_from_whole_texts(spark):
+    rows = frame(spark, [(i, " ".join(f"w{j}" for j in range(5000))) for i in range(40)] + [(i, prose(9, i)) for i in range(40, 80)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)] + [(3, 1), (None, 1)], "doc_id long, quality int")
+    got = sampled(rows, labels, "quality", 1000, 100, 3)
+    assert [r.doc_id for r in got] == list(range(80)) and all(len(r.parts) == 3 and all(len(p) == 100 for p in r.parts) for r in got[:40])
+    text = rows.where("doc_id = 1").first().text
+    places = [text.index(p) for r in got[:40] for p in r.parts]
+    assert max(places) > 0.9 * len(text) and all(x in text for x in got[0].parts) and got[50].parts == [prose(9, 50)]
+    assert 4 <= len(sampled(rows, labels, "quality", 10, 100, 3)) <= 40 and sampled(rows, labels.limit(0), "quality", 10, 100, 3) == []
 
 
 def test_held_out_accuracy(spark):

@@ -21,7 +21,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from tidewater.llm import common  # noqa: F401  ships this module to Python workers
+from tidewater.llm import common
 
 #: Matches that a worker remembers.
 CACHE = 300_000
@@ -108,8 +108,7 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(sent.value, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in common.slices(batch):
                 ids = [codec.encode(t or "") for t in part.column(1).to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("int32")
                 flat = pa.array(np.concatenate(ids), pa.int32())

@@ -1,17 +1,23 @@
 """Language identification by cross-parsing: longest matches against suffix automata of labelled text.
 
-For each language a suffix automaton holds a bounded sample of its labelled text. A text is cut, from left to right,
-into the longest pieces that occur in that sample; the fewer pieces per character, each costed by the logarithm of
-the sample's length, the closer the language. Texts are parsed in blocks of fixed length, all blocks of a batch at once
-as rows of a NumPy array, so a text of any length is parsed to its end with the memory of one batch.
-
-Letters are compared in lower case, everything else is one blank. A null text, or one without a letter, is ``und`` with
-score 0. Equal costs go to the alphabetically first language. Without any labelled text every document is ``und``.
+For each language a suffix automaton holds a bounded sample of its labelled text, as UTF-8 bytes of lower-case letters with
+everything else as one blank, so an alphabet of any size will do. A text is cut, from left to right, into the longest
+pieces that occur in that sample (a byte that doesn't occur is a piece); the fewer pieces per byte, each costed by the
+logarithm of the sample's length, the closer the language.
+
+The pieces are those of the whole text: it is parsed from many starting points at once, as rows of NumPy arrays, each
+until it meets a piece that the parse from a later point begins too, from where on both are the same. What the parse
+from the text's first byte needs is then put together from these stretches. So a text of any length takes
+the memory of one batch.
+
+A null text, or one without a letter, is ``und`` with score 0. Equal costs go to the alphabetically first language.
+Without any labelled text every document is ``und``. Each row gets its result, repeated and null ids included, but
+nothing is learnt from null ids; an id of several languages counts as the alphabetically last.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +26,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import sampled
+from tidewater.llm.common import sampled, slices
 
-BLANK, OTHER, FIRST = 0, 1, 2
+#: Bytes between two starting points.
 BLOCK = 512
-MAX_LETTERS = 120
-LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
+REST = re.compile(r"[\W\d_]+")
+ENDED = 1 << 30
+#: Bytes of labelled text in the automata of all languages together.
+TOTAL = 1_000_000
+
+
+def plain(text: str) -> bytes:
+    return REST.sub(" ", text.lower()).lstrip(" ").encode("utf-8", "replace")
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -59,99 +71,125 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class Model:
-    """Edges of one automaton per language, small enough to be sent; ``tables`` makes them dense."""
+    """One automaton per language, as arrays.
+
+    A state with one way on has it in ``only`` (byte code) and ``to``; any other has a row of ``ways`` over all codes, at
+    ``row``. Where no way leads on, a piece ends (``ENDED``) and the next one begins with the code at hand.
+    """
 
-    def __init__(self, texts: dict[str, str]):
+    def __init__(self, texts: dict[str, bytes]):
         self.langs = sorted(texts)
-        seen = Counter(x for t in texts.values() for x in t.lower() if x.isalpha() and ord(x) < 0x10000)
-        self.letters = [x for x, _ in seen.most_common(MAX_LETTERS)]
-        codes_of = {x: FIRST + i for i, x in enumerate(self.letters)}
-        self.codes = np.where(LETTER, OTHER, BLANK).astype("uint8")
-        for i in np.flatnonzero(LETTER):
-            self.codes[i] = codes_of.get(chr(i).lower()[0], OTHER)
-        self.pad = FIRST + len(self.letters)
-        self.edges, self.bits = [], []
+        used = np.unique(np.frombuffer(b"".join(texts.values()), "uint8"))
+        self.code = np.zeros(256, "uint8")  # 0: not in any sample
+        self.code[used] = np.arange(1, len(used) + 1)
+        width = len(used) + 1
+        only, to, row, ways = [], [], [], []
+        self.starts, self.bits, base, rows = [], [], 0, 0
         for lang in self.langs:
-            codes, _ = self.encode([texts[lang]])
-            nxt = suffix_automaton(codes.tolist())
-            self.edges.append((len(nxt), np.array([(s, c, t) for s, row in enumerate(nxt) for c, t in row.items()], "int32").reshape(-1, 3)))
-            self.bits.append(np.log2(max(2, len(codes))))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of all texts in a row, runs of blanks as one, and how many each text has."""
-        raw = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "replace"), "<u4")
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        codes = np.where(raw < 0x10000, self.codes[np.minimum(raw, 0xFFFF)], OTHER).astype("uint8")
-        after_blank = np.concatenate([[True], codes[:-1] == BLANK])
-        after_blank[ends[:-1]] = True  # each text begins anew
-        keep = (codes != BLANK) | ~after_blank
-        sums = np.cumsum(keep)
-        return codes[keep], np.diff(np.concatenate([[0], sums[ends - 1]]))
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """For all languages together: [state * width + code] -> next state * width, negative where a piece ends."""
-        width, base = self.pad + 1, 0
-        parts, starts = [], []
-        for n, edges in self.edges:
-            table = np.full((n, width), -1, "int64")
-            table[edges[:, 0], edges[:, 1]] = edges[:, 2]
-            start = table[0].copy()
-            start[start < 0] = 0
-            missing = table < 0
-            table[missing] = np.broadcast_to(start, table.shape)[missing]
-            table = (table + base) * width
-            table[missing] |= 1 << 40
-            table[:, self.pad] = (np.arange(n) + base) * width
-            starts.append(base * width)
-            parts.append(np.where(table >> 40, (table & (1 << 40) - 1) - (1 << 31), table).astype("int32").ravel())
-            base += n
-        return np.concatenate(parts), np.array(starts, "int32")
-
-    def pieces(self, texts: list[str], tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """How many pieces each language needs for each text, and how many codes each text has."""
-        table, starts = tables
-        codes, sizes = self.encode(texts)
+            nxt = suffix_automaton(self.code[np.frombuffer(texts[lang], "uint8")].tolist())
+            lost = len(nxt)  # the state after a byte that the sample lacks
+            begun = np.full(width, base + lost | ENDED, "int64")
+            for c, t in nxt[0].items():
+                begun[c] = base + t | ENDED
+            ways.append(begun)
+            first, rows = rows, rows + 1
+            for s, edges in enumerate([*nxt, {}]):
+                single = len(edges) == 1 and s > 0
+                c, t = next(iter(edges.items())) if single else (255, 0)
+                only.append(c)
+                to.append(base + t)
+                row.append(first * width)
+                if s == 0 or len(edges) > 1:
+                    own = begun.copy() if s else begun & ~ENDED
+                    for c, t in edges.items():
+                        own[c] = base + t
+                    row[-1] = rows * width
+                    ways.append(own)
+                    rows += 1
+            self.starts.append(base)
+            self.bits.append(float(np.log2(max(2, len(texts[lang])))))
+            base += lost + 1
+        self.only, self.to, self.row = np.array(only, "uint8"), np.array(to, "int32"), np.array(row, "int32")
+        self.ways = np.concatenate(ways).astype("int32") if ways else np.zeros(0, "int32")
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a piece begins with the code."""
+        got = np.where(self.only[state] == code, self.to[state], self.ways[self.row[state] + code])
+        return got & (ENDED - 1), got >= ENDED
+
+    def pieces(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many pieces each language needs for each text, and how many bytes each text has."""
+        sizes = np.array([len(t) for t in texts], "int64")
+        counts = np.zeros((len(self.langs), len(texts)), "int64")
+        if not sizes.sum():
+            return counts, sizes
+        codes = self.code[np.frombuffer(b"".join(texts), "uint8")]
+        text_end = np.cumsum(sizes)
         blocks = -(-sizes // BLOCK)
+        first = np.cumsum(blocks) - blocks
         owner = np.repeat(np.arange(len(texts)), blocks)
-        counts = np.zeros((len(self.langs), len(texts)), "int64")
-        if len(owner):
-            first = np.cumsum(blocks) - blocks
-            at = np.repeat(np.cumsum(sizes) - sizes, blocks) + (np.arange(len(owner)) - first[owner]) * BLOCK
-            left = np.minimum(BLOCK, np.repeat(np.cumsum(sizes), blocks) - at)
-            order = np.argsort(-left, kind="stable")
-            at, left, owner = at[order], left[order], owner[order]
-            state = np.repeat(starts[:, None], len(at), 1)
-            ended = np.zeros(state.shape, "int32")
-            live = np.searchsorted(-left, -np.arange(left[0]), "left")
-            for t in range(int(left[0])):
-                n = live[t]
-                got = table[state[:, :n] + codes[at[:n] + t]]
-                ended[:, :n] += got < 0
-                state[:, :n] = got & 0x7FFFFFFF
-            for k in range(len(self.langs)):
-                counts[k] = np.bincount(owner, ended[k] + 1, len(texts))
+        at = (text_end - sizes)[owner] + (np.arange(len(owner)) - first[owner]) * BLOCK
+        stop = np.minimum(at + BLOCK, text_end[owner])
+        # every block from its own start
+        order = np.argsort(at - stop, kind="stable")
+        pos, left = at[order], (stop - at)[order]
+        live = np.searchsorted(-left, -np.arange(left[0]), "left")
+        state = np.repeat(np.array(self.starts, "int32")[:, None], len(pos), 1)
+        begins = np.zeros((len(self.langs), len(codes)), bool)
+        for t in range(int(left[0])):
+            n = live[t]
+            here = pos[:n] + t
+            state[:, :n], begins[:, here] = self.step(state[:, :n], codes[here])
+        begins[:, at] = True
+        # on from its end, until a piece begins where one begins in a later block
+        lang, block = np.nonzero(np.broadcast_to(stop[order] < text_end[owner[order]], state.shape))
+        state, block = state[lang, block], order[block]
+        here, end = stop[block], text_end[owner[block]]
+        more = np.zeros((len(self.langs), len(owner)), "int64")
+        met = np.full(more.shape, -1, "int64")
+        while len(here):
+            state, new = self.step(state, codes[here])
+            same = new & begins[lang, here]
+            met[lang[same], block[same]] = here[same]
+            new &= ~same
+            more[lang[new], block[new]] += 1
+            here = here + 1
+            on = ~same & (here < end)
+            state, lang, block, here, end = state[on], lang[on], block[on], here[on], end[on]
+        # from a text's first byte, over the stretches that were met
+        before = np.concatenate([np.zeros((len(self.langs), 1), "int64"), np.cumsum(begins, 1)], 1)
+        lang, text = np.nonzero(np.broadcast_to(sizes > 0, counts.shape))
+        entry = (text_end - sizes)[text]
+        while len(lang):
+            b = first[text] + (entry - (text_end - sizes)[text]) // BLOCK
+            counts[lang, text] += before[lang, stop[b]] - before[lang, entry] + more[lang, b]
+            entry = met[lang, b]
+            on = entry >= 0
+            lang, text, entry = lang[on], text[on], entry[on]
         return counts, sizes
 
-    def predict(self, texts: list[str | None], tables: tuple[np.ndarray, np.ndarray]) -> tuple[list[str], np.ndarray]:
-        """The language that needs the fewest bits per code, and its share among all languages (0 to 1)."""
-        full = [t or "" for t in texts]
-        named = np.array([any(map(str.isalpha, t)) for t in full], bool)
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The language that needs the fewest bits per byte, and its share among all languages (0 to 1)."""
+        named = np.array([any(map(str.isalpha, t or "")) for t in texts], bool)
         if not self.langs:
-            return ["und"] * len(full), np.zeros(len(full))
-        counts, sizes = self.pieces(full, tables)
+            return ["und"] * len(texts), np.zeros(len(texts))
+        counts, sizes = self.pieces([plain(t or "") for t in texts])
         cost = counts * np.array(self.bits)[:, None] / np.maximum(1, sizes)
         best = cost.argmin(0)
         share = 1 / np.exp2(-(cost - cost.min(0)) * np.minimum(sizes, 32)).sum(0)
         return [self.langs[b] if ok else "und" for b, ok in zip(best, named, strict=True)], np.where(named, share, 0.0)
 
 
-def train(docs: DataFrame, keep: Column, per_lang: int = 150, chars: int = 400) -> Model:
-    """From ``per_lang`` documents (about) of each language that pass ``keep``, ``chars`` characters of each."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & keep).select("doc_id", "text", "lang")
-    texts: dict[str, list[str]] = {}
-    for row in sampled(rows, "lang", per_lang, chars).orderBy("doc_id", "text").collect():
-        texts.setdefault(row.lang, []).append(row.text)
-    return Model({k: " ".join(dict.fromkeys(v)) for k, v in texts.items()})
+def train(docs: DataFrame, keep: Column, per_lang: int = 150, chars: int = 400, total: int = TOTAL) -> Model:
+    """From about ``per_lang`` documents of each language that pass ``keep``, a piece of ``chars`` characters of each.
+
+    The pieces are chosen by hash from whole texts. Languages share ``total`` bytes evenly, so the model is bounded
+    however many there are.
+    """
+    texts: dict[str, list[bytes]] = {}
+    for row in sampled(docs, docs.where(keep), "lang", per_lang, chars, 1):
+        texts.setdefault(row.lang, []).append(plain(row.parts[0]))
+    return Model({k: b" ".join(dict.fromkeys(v))[: total // len(texts)] for k, v in texts.items()})
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -160,14 +198,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.drop("lang_pred", "lang_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, tables = Model.__new__(Model), None
+        own = Model.__new__(Model)
         vars(own).update(sent.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                if tables is None:
-                    tables = own.tables() if own.langs else (np.zeros(0, "int32"), np.zeros(0, "int32"))
-                langs, share = own.predict(part.column(part.schema.get_field_index("text")).to_pylist(), tables)
+            column = batch.schema.get_field_index("text")
+            for part in slices(batch, column):
+                langs, share = own.predict(part.column(column).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(share, pa.float64())], [*part.schema.names, "lang_pred", "lang_score"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))

@@ -6,8 +6,10 @@ normalised difference. Endlessly repeated words are small with both, so the mean
 A logistic curve over both, fitted on labelled documents that no dictionary was made from, gives the probability of
 good quality.
 
-Null and empty texts have difference 0 and size 1, and score as that. Without both labels in the training rows the score is the
-share of good labels, or 0.5 without any label. Repeated ids give repeated results.
+Null and empty texts have difference 0 and size 1, and score as that; a text of any length is scored to its end. Where
+the training rows lack a label, or have too little text of one for a dictionary, every score is the share of good labels, 0.5
+without any label. Each row gets its result, repeated and null ids included; an id of several labels counts as the
+largest of them. Other columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -18,21 +20,24 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from tidewater.llm.common import labelled, sampled
+from tidewater.llm.common import sampled, slices
 
 BLOCK = 2048
+#: Dictionaries are trained on pieces of this length, so that a few texts are samples enough.
+SAMPLE = 256
 LEVEL = 3
 DICT_BYTES = 110_000
 
 
-def dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """A trained dictionary, or the bare texts where there are too few to train on."""
-    pieces = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
+def dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes | None:
+    """A trained dictionary; None where there is too little text to train on."""
+    samples = [t[i : i + SAMPLE] for t in texts for i in range(0, len(t), SAMPLE)]
     try:
-        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, pieces)) // 8)), pieces, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, samples)) // 8)), samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(pieces)[-size:]
+        return None
 
 
 class Scale:
@@ -80,24 +85,24 @@ def on_curve(x: np.ndarray, curve: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip((x - curve["mean"]) / curve["scale"] @ curve["slopes"] + curve["offset"], -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, keep: Column, per_class: int = 1500, chars: int = 4000) -> dict:
-    """Dictionaries and curve from about ``per_class`` labelled documents of each kind, ``chars`` characters of each.
+def train(docs: DataFrame, labels: DataFrame, keep: Column, per_class: int = 1500, most: int = 4) -> dict:
+    """Dictionaries and curve from about ``per_class`` labelled documents of each kind, at most ``most`` blocks of each.
 
-    The share of good documents, over all labels that pass ``keep``, sets the curve's offset: the sample has as many
-    of each kind.
+    The blocks of a longer text are chosen by hash, from all of it. The share of good documents, over all labels that pass
+    ``keep``, sets the curve's offset: the sample has as many of each kind.
     """
-    rows = sampled(labelled(docs, labels, "quality", keep), "quality", per_class, chars).orderBy("doc_id", "text").collect()
-    share = labels.where(keep).groupBy("quality").count().where("quality in (0, 1)").collect()
-    n = {r.quality: r["count"] for r in share}
-    prior = n.get(1, 0) / max(1, sum(n.values())) if n else 0.5
-    halves = [[[r for r in rows if r.quality == q][i::2] for i in range(2)] for q in (0, 1)]
-    if not all(part for kind in halves for part in kind):
+    known = labels.where(keep & F.col("quality").isin(0, 1))
+    rows = sampled(docs, known, "quality", per_class, BLOCK, most)
+    n = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
+    prior = n.get(1, 0) / sum(n.values()) if n else 0.5
+    texts = [["".join(r.parts) for r in rows if r.quality == q] for q in (0, 1)]
+    bad, good = (dictionary([t.encode() for t in kind[::2]]) for kind in texts)
+    rest = [kind[1::2] for kind in texts]
+    if bad is None or good is None or not all(rest):
         return {"good": b"", "bad": b"", "curve": None, "prior": prior}
-    good, bad = (dictionary([r.text.encode() for r in halves[q][0]]) for q in (1, 0))
     scale = Scale(good, bad)
-    rest = halves[0][1] + halves[1][1]
-    y = np.array([r.quality for r in rest], float)
-    curve = fit_curve(design([scale.measure(r.text) for r in rest]), y)
+    y = np.repeat([0.0, 1.0], [len(kind) for kind in rest])
+    curve = fit_curve(design([scale.measure(t) for kind in rest for t in kind]), y)
     if 0 < prior < 1:
         curve["offset"] += float(np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean())))
     return {"good": good, "bad": bad, "curve": curve, "prior": prior}
@@ -111,9 +116,9 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         scale = Scale(m["good"], m["bad"]) if m["curve"] else None
-        for batch in batches:
-            x = [scale.measure(t) if scale else (0.0, 1.0) for t in batch.column(1).to_pylist()]
+        for part in (p for batch in batches for p in slices(batch)):
+            x = [scale.measure(t) if scale else (0.0, 1.0) for t in part.column(1).to_pylist()]
             p = on_curve(design(x), m["curve"]) if scale else np.full(len(x), m["prior"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in x], pa.float64()), pa.array(p, pa.float64())], ["doc_id", "difference", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([a for a, _ in x], pa.float64()), pa.array(p, pa.float64())], ["doc_id", "difference", "score"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, difference double, score double")

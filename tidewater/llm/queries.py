@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import byte_bpe, decontaminate, language_id, line_templates, quality_rules, quality_zstd, simhash, substring_dedup, toxicity, url_filter
@@ -14,6 +14,11 @@ URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def held_out(folds: int, fold_: int) -> Column:
+    """Whether the id is in the fold; false for a null id, which no label has and nothing is learnt from."""
+    return F.coalesce(fold("doc_id", folds) == fold_, F.lit(False)).alias("held_out")
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.find(table(spark, sf_dir, "documents"))
 
@@ -25,13 +30,13 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_zstd.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
-    return quality_zstd.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return quality_zstd.score(docs, model).select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.identify(docs.select("doc_id", "text"), language_id.train(docs, fold("doc_id", 4) != 2))
-    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return found.select("doc_id", held_out(4, 2), "lang_pred", F.col("lang_score").alias("score"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +66,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
-    return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return toxicity.score(docs, model).select("doc_id", held_out(3, 1), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ Confirmed toxic documents and unlabelled documents train a linear classifier ove
 toxic, plus the loss of the unlabelled ones as clean less p times that of the toxic ones as clean; where this
 difference falls below zero, it is pushed up again, so the unlabelled toxic documents aren't learnt as clean.
 
-Null and empty texts score as a text without features. Without confirmed examples each score is 0.
+Null and empty texts score as a text without features; a text of any length is scored to its end. Without confirmed examples
+each score is 0. Each row gets its result, repeated and null ids included; an empty table gives an empty result. Other columns
+of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import labelled, sampled
+from tidewater.llm.common import cut, sampled, share_of, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 GRAM = 4
@@ -86,21 +88,28 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = 2
     return {"weights": {f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, "bias": float(b)}
 
 
-def train(docs: DataFrame, labels: DataFrame, keep: Column, prior: float | None = None, n_positive: int = 1500, n_unlabelled: int = 3000, chars: int = 5000) -> dict:
-    """From about that many documents of each kind, at most ``chars`` characters of each (bounds of the fitting only).
+#: Characters of a training piece; a longer text is represented by pieces chosen by hash from all of it.
+PIECE = 1000
 
-    ``prior`` is the share of toxic documents; None takes it from the labels that pass ``keep``.
+
+def train(docs: DataFrame, labels: DataFrame, keep: Column, prior: float | None = None, n_positive: int = 1500, n_unlabelled: int = 3000, most: int = 5) -> dict:
+    """From about that many documents of each kind whose ids pass ``keep``, at most ``most`` pieces of each.
+
+    ``prior`` is the share of toxic documents; None takes it from the labels that pass ``keep``. Unlabelled documents
+    are drawn from all that pass it, without a look at their labels.
     """
-    confirmed = labels.where(keep & (F.col("toxic") == 1))
-    toxic = sampled(labelled(docs, confirmed, "toxic", keep), "toxic", n_positive, chars).collect()
-    plain = sampled(docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", F.lit(0).alias("toxic")), "toxic", n_unlabelled, chars).collect()
-    if not toxic or not plain:
+    toxic = sampled(docs, labels.where(keep & (F.col("toxic") == 1)), "toxic", n_positive, PIECE, most)
+    pool = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & keep)
+    n = pool.select("doc_id").count()
+    if not toxic or not n:
+        return {"weights": {}, "bias": -30.0}
+    plain = cut(pool.where(share_of(F.col("doc_id"), "unlabelled") < 1.2 * n_unlabelled / n), PIECE, most).collect()
+    if not plain:
         return {"weights": {}, "bias": -30.0}
     if prior is None:
         got = labels.where(keep).agg(F.avg("toxic").alias("p")).first().p
         prior = min(0.9, max(0.001, got or 0.0))
-    key = lambda r: (r.doc_id, r.text)
-    return fit([r.text for r in sorted(toxic, key=key)], [r.text for r in sorted(plain, key=key)], prior)
+    return fit([" ".join(r.parts) for r in toxic], [" ".join(r.parts) for r in plain], prior)
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -119,8 +128,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 return got
 
         known = Known()
-        for batch in batches:
-            z = np.array([sum(map(weights.__getitem__, {f for w in set(WORD.findall((t or "").lower())) for f in known[w]})) for t in batch.column(1).to_pylist()], float) + bias
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "score"])
+        for part in (p for batch in batches for p in slices(batch)):
+            z = np.array([sum(map(weights.__getitem__, {f for w in set(WORD.findall((t or "").lower())) for f in known[w]})) for t in part.column(1).to_pylist()], float) + bias
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "score"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
