@@ -167,6 +167,89 @@ def test_short_lines_recur_by_their_full_text(spark):
         assert got[i].n_dropped == 2 and got[i].text.split("\n") == [x for x in t.split("\n") if x not in ("Read  more", "End.")]
 
 
+def test_variable_tokens_anywhere(spark):
+    names = [prose(1, 5000 + i) + prose(1, 6000 + i) for i in range(40)]
+    forms = ["Posted by {} in category news today", "{} wrote this comment on the page", "Shared on {} from the old station of {}"]
+    rows = [(i, "\n".join([prose(12, 100 + i), forms[i % 3].format(names[i], names[39 - i]), prose(15, 200 + i)])) for i in range(24)]
+    got = {r.doc_id: r for r in line_templates.dedupe(frame(spark, rows)).collect()}
+    assert all(got[i].n_dropped == 1 for i in range(24) if i % 3 < 2)  # all differing tokens are in one third
+    assert all(prose(12, 100 + i) in got[i].text and prose(15, 200 + i) in got[i].text for i in range(24))
+
+
+def test_line_dedup_by_brute_force(spark):
+    r = random.Random(21)
+    lines = [prose(r.randint(1, 12), 7000 + i) for i in range(60)]
+
+    def varied(line):
+        w = line.split()
+        if r.random() < 0.5 and len(w) > 2:
+            w[r.randrange(len(w))] = r.choice([*VOCAB, "x1", "77"])
+        return "  ".join(w)
+
+    texts = ["\n".join(r.choice([prose(8, r.randrange(10**6)), varied(r.choice(lines)), "", r.choice(lines)]) for _ in range(r.randint(1, 9))) for _ in range(120)]
+    texts += [texts[3]] * 5 + ["\n".join([*texts[5].split("\n"), prose(5, k)]) for k in range(4)]
+    key = {t: xxhash.xxh64_intdigest(t.encode(), 42) for t in texts}
+    key = {t: k - (1 << 64) if k >> 63 else k for t, k in key.items()}
+    parsed = {}
+    for t, doc in key.items():
+        rows = []
+        for at, line in enumerate(t.split("\n")):
+            raw = line.split()
+            if not raw:
+                continue
+            g, n = ["<*>" if regex.search("[0-9]", w) else w for w in raw], len(raw)
+            cut = [0, n // 3, 2 * n // 3, n]
+            own = [("short", *raw)] if n < 3 else [(n, None, *g)]
+            own += [(n, k, *g[: cut[k]], "", *g[cut[k + 1] :]) for k in range(3) if n - (cut[k + 1] - cut[k]) >= 4]
+            rows.append((at, n, own))
+        parsed[doc] = rows
+    holders = {}
+    for doc, rows in parsed.items():
+        for _, _, own in rows:
+            for x in own:
+                holders.setdefault(x, set()).add(doc)
+    families = {}
+    for doc, rows in parsed.items():
+        firsts = [min((min(holders[x]) for x in own if len(holders[x]) > 1), default=None) for _, _, own in rows]
+        words = Counter({doc: 0})
+        for (_, n, _), f in zip(rows, firsts, strict=True):
+            words[doc if f is None else f] += n
+        total = sum(words.values())
+        for i, f in enumerate(firsts):
+            if f is None:
+                continue
+            lo = hi = i
+            while lo and firsts[lo - 1] == f:
+                lo -= 1
+            while hi + 1 < len(rows) and firsts[hi + 1] == f:
+                hi += 1
+            if words[f] >= 0.8 * total:
+                family = f
+            else:
+                rest = Counter(words) | Counter({doc: 0})
+                best = [(words[x] - (sum(n for _, n, _ in rows[lo : hi + 1]) if x == f else 0), x == doc, x) for x in {*rest, doc, f}]
+                family = max(best)[2]
+            for x in rows[i][2]:
+                if len(holders[x]) > 1:
+                    families.setdefault(x, {}).setdefault(doc, set()).add(family)
+    drop = {x for x, by in families.items() if len({min(f) for f in by.values()}) >= 3}
+    got = line_templates.dedupe(frame(spark, list(enumerate(texts)))).collect()
+    assert len(got) == len(texts) and any(x.n_dropped for x in got)
+    for row in got:
+        t = texts[row.doc_id]
+        gone = {at for at, _, own in parsed[key[t]] if drop & set(own)}
+        assert row.n_dropped == len(gone) and row.text == "\n".join(x for at, x in enumerate(t.split("\n")) if at not in gone)
+
+
+def test_line_dedup_with_helper_names_and_null_ids(spark):
+    names = ["kept", "bad", "leaf", "first", "text_key", "n", "k", "at", "l0", "family", "n_lines", "BAD_"]
+    rows = [(None if i % 2 else i, f"{prose(12, 100 + i)}\nsame line of all these documents\n{prose(12, 200 + i)}", *[f"{c}{i}" for c in names]) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    got = line_templates.dedupe(docs).collect()
+    assert len(got) == 6 and all(r.n_dropped == 1 and r.n_lines == 3 and "same line" not in r.text for r in got)
+    assert {tuple(r[c] for c in names if c != "n_lines") for r in got} == {tuple(f"{c}{i}" for c in names if c != "n_lines") for i in range(6)}
+
+
 def test_fingerprints_and_components_by_brute_force(spark):
     base = [prose(120, s) for s in range(6)]
     r = random.Random(5)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,14 @@ class Store:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(name: str, columns: Collection[str]) -> str:
+    """The name, with underscores where a column has it already (names don't differ by case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id's decimal text modulo ``folds``; null for a null id, which is in no fold and never held out."""
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary")) % folds

@@ -1,19 +1,24 @@
 """Line dedup by a log-template tree, all in Catalyst expressions.
 
-Each line goes down a tree of fixed levels: its number of tokens, then its leading tokens, at least ``depth`` of them
-and never fewer than half. Tokens with a digit are variable fields from the start, and what follows the leading tokens
-is variable too, so lines that differ only there reach the same leaf: their template.
-
-A template recurs if it is in documents of ``min_docs`` families or more. Each line points to the first text that has its
-template. The family of a document at a line is the text that most of its other words point to, without the run of
-lines about it that point to the same text; where ``COPY`` of all its words point to that text, it is that text. So a
+A line goes down a tree of four levels: its number of tokens, then the leading, the middle and the last third of its
+tokens. Tokens with a digit are variable fields (``<*>``) from the start. Below each node there is, beside one child for each
+third's tokens, a child that stands for any tokens; a path takes that one at most once, and only where ``CONSTANT`` tokens
+or more stay fixed. So a line reaches up to four leaves: the one of its own tokens, and one for each third that may
+vary. Lines whose differing tokens all lie in one third share a leaf for certain, wherever in the line that third is.
+Each leaf is a template.
+
+A template recurs if it is in documents of ``min_docs`` families or more. Each line points to the first text that has one
+of its templates. The family of a document at a line is the text that most of its other words point to, without the run
+of lines about it that point to the same text; where ``COPY`` of all its words point to that text, it is that text. So a
 notice of one or more lines recurs in documents that are otherwise their own, however many copies also hold it; the
 lines of copied documents, whole or changed, all point to the text they were copied from, which is one family: copies
-are the matter of document dedup. All lines of recurring templates are dropped, in every document.
+are the matter of document dedup. All lines that have a recurring template are dropped, in every document.
 
 Lines end at ``\\n``. Lines of under ``MIN_TOKENS`` tokens are templates by their full text, with no variable fields; lines
-without tokens are never dropped.
-A null text has no lines and stays null. Each row counts as a document, repeated ids included; other columns stay.
+without tokens are never dropped. A null text has no lines and stays null, an empty one stays empty. Texts of any length
+are read to their end. Each row gets its result by its text, so repeated and null ids don't matter; equal texts count as
+one document when families are counted. Columns n_lines and n_dropped are replaced, all others stay, whatever their names.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,70 +26,83 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import SPACE, SPACE_CHARS, Store
+from tidewater.llm.common import Store, unused
 
-DEPTH = 8
 MIN_DOCS = 3
 #: Share of a document's words that make it a copy of the text they point to.
 COPY = 0.8
 #: Lines of fewer tokens say too little for variable fields.
 MIN_TOKENS = 3
+#: Fixed tokens of a template with a third that varies.
+CONSTANT = 4
 
 
-def templates(line: Column, depth: int = DEPTH) -> Column:
-    """The leaf of each line as a 64-bit hash; null for a line without tokens."""
-    bare = F.trim(line, F.lit(SPACE_CHARS))
-    even = F.regexp_replace(bare, SPACE, " ")
+def leaves(raw: Column, line: str) -> list[Column]:
+    """Of a line (``raw``; with fields as ``line``, tokens one blank apart): its own leaf and up to three others, as hashes."""
+    g = f"split({line}, ' ')"
+    n = F.expr(f"size({g})")
+    a, b = f"size({g}) DIV 3", f"2 * size({g}) DIV 3"
+    third = [F.expr(f"xxhash64(slice({g}, 1, {a}))"), F.expr(f"xxhash64(slice({g}, {a} + 1, {b} - {a}))"), F.expr(f"xxhash64(slice({g}, {b} + 1, size({g}) - {b}))")]
+    own = F.when(n < MIN_TOKENS, F.xxhash64(n, raw)).otherwise(F.xxhash64(n, *third))
+    width = [F.expr(a), F.expr(f"{b} - {a}"), F.expr(f"size({g}) - {b}")]
+    others = [F.when(n - width[k] >= CONSTANT, F.xxhash64(n, F.lit(k), *(t for i, t in enumerate(third) if i != k))) for k in range(3)]
+    return [own, *others]
 
-    def leaf(p: Column, n: Column) -> Column:
-        lead = F.call_function("substring_index", F.regexp_replace(p, "[^ ]*[0-9][^ ]*", "<*>"), F.lit(" "), F.greatest(F.lit(depth), F.ceil(n / 2)).cast("int"))
-        return F.when(p != "", F.xxhash64(n, F.when(n < MIN_TOKENS, p).otherwise(lead)))
 
-    return F.transform(F.array(even), lambda p: F.transform(F.array(F.size(F.split(p, " "))), lambda n: leaf(p, n))[0])[0]
+def with_leaves(docs: DataFrame) -> DataFrame:
+    """text_key, place among all lines and among those with tokens, number of tokens, and leaves (l0 to l3) of each line."""
+    even = F.regexp_replace("text", "[\\x20\\x09\\x0B-\\x0D]+", " ")
+    fields = F.regexp_replace(even, "(?<![^ \\n])[^ \\n0-9]*+[0-9][^ \\n]*+", "<*>")
+    rows = docs.select(F.xxhash64("text").alias("text_key"), F.arrays_zip(F.split(even, "\n").alias("raw"), F.split(fields, "\n").alias("line")).alias("x"))
+    lines = F.filter(F.transform("x", lambda x, i: F.struct(i.alias("at"), x["raw"].alias("raw"), x["line"].alias("line"))), lambda x: ~x["raw"].isin("", " "))
+    rows = rows.select("text_key", F.posexplode(lines).alias("k", "x")).select("text_key", "k", "x.at", F.trim("x.raw").alias("raw"), F.trim("x.line").alias("line"))
+    return rows.select("text_key", "k", "at", F.expr("size(split(line, ' '))").alias("n"), *[c.alias(f"l{i}") for i, c in enumerate(leaves(F.col("raw"), "line"))])
 
 
 def recurring(lines: DataFrame, store: Store, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Templates that recur, of lines (text_key, at, leaf, n); rows of equal texts count once."""
-    lines = lines.groupBy("text_key", "at").agg(F.min("leaf").alias("leaf"), F.min("n").alias("n"))
-    first = lines.groupBy("leaf").agg(F.min("text_key").alias("first"), F.max("text_key").alias("last")).where("first < last").select("leaf", "first")
+    """text_key and place of the lines that have a recurring template; of lines as of ``with_leaves``, one a place."""
+    each = lines.select("text_key", "k", "at", "n", F.explode(F.array_compact(F.array("l0", "l1", "l2", "l3"))).alias("leaf"))
+    first = each.groupBy("leaf").agg(F.min("text_key").alias("first"), F.max("text_key").alias("last")).where("first < last").select("leaf", "first")
     first = store.put(first, "first")  # a stored table: its join can be split where a template is hot
-    rows = lines.join(first, "leaf", "left").withColumn("shared", F.col("first").isNotNull()).withColumn("first", F.coalesce("first", "text_key"))
-    text = Window.partitionBy("text_key")
-    by_line = text.orderBy("at")
-    rows = rows.withColumn("new", F.when(F.lag("first").over(by_line) == F.col("first"), 0).otherwise(1))
+    shared = store.put(each.join(first, "leaf"), "shared")
+    rows = shared.groupBy("text_key", "k").agg(F.min("n").alias("n"), F.min("first").alias("first"))
+    rows = rows.join(lines.groupBy("text_key").agg(F.sum("n").alias("all")), "text_key")
+    text, own = Window.partitionBy("text_key"), F.col("first") == F.col("text_key")
+    by_line = text.orderBy("k")
+    rows = rows.withColumn("new", F.when((F.lag("first").over(by_line) == F.col("first")) & (F.lag("k").over(by_line) == F.col("k") - 1), 0).otherwise(1))
     rows = rows.withColumn("run", F.sum("new").over(by_line.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("in_run", F.sum("n").over(Window.partitionBy("text_key", "run")))
-    rows = rows.withColumn("words", F.sum("n").over(Window.partitionBy("text_key", "first")))
+    rows = rows.withColumn("left", F.col("all") - F.coalesce(F.sum(F.when(~own, F.col("n"))).over(text), F.lit(0)))
+    rows = rows.withColumn("words", F.when(own, F.col("left")).otherwise(F.sum("n").over(Window.partitionBy("text_key", "first"))))
     # the two texts that most words of this one point to; of equals, the text itself comes first
-    own = F.col("first") == F.col("text_key")
-    rows = rows.withColumn("top", F.max(F.struct("words", own.alias("own"), "first")).over(text))
-    rows = rows.withColumn("next", F.max(F.when(F.col("first") != F.col("top.first"), F.struct("words", own.alias("own"), "first"))).over(text))
+    here = F.struct("words", own.alias("own"), "first")
+    self_ = F.struct(F.col("left").alias("words"), F.lit(True).alias("own"), F.col("text_key").alias("first"))
+    rows = rows.withColumn("top", F.greatest(F.max(here).over(text), self_))
+    rows = rows.withColumn("next", F.greatest(F.max(F.when(F.col("first") != F.col("top.first"), here)).over(text), F.when(F.col("text_key") != F.col("top.first"), self_)))
     rest = F.struct((F.col("words") - F.col("in_run")).alias("words"), own.alias("own"), F.col("first"))
     other = F.when(F.col("first") == F.col("top.first"), F.col("next")).otherwise(F.col("top"))
-    rows = rows.withColumn("all", F.sum("n").over(text)).where("shared")
-    rows = rows.withColumn("family", F.when(F.col("words") >= F.col("all") * COPY, F.col("first")).otherwise(F.greatest(rest, other)["first"]))
-    rows = rows.groupBy("text_key", "leaf").agg(F.min("family").alias("family"))
-    families = rows.groupBy("leaf", "family").agg(F.count(F.lit(1)).alias("n"))
-    return families.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_families")).where(F.col("n_families") >= min_docs)
-
-
-def with_leaves(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """doc_id, text_key, and place, leaf and number of words of each line that has a leaf."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), templates(x, depth).alias("leaf"), F.size(F.split(F.trim(x, F.lit(SPACE_CHARS)), SPACE)).alias("n")))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(lines).alias("x"))
-    return rows.select("doc_id", "text_key", "x.at", "x.leaf", "x.n").where("leaf is not null")
+    family = F.when(F.col("words") >= F.col("all") * COPY, F.col("first")).otherwise(F.greatest(rest, other)["first"])
+    rows = rows.select("text_key", "k", family.alias("family")).join(shared.select("text_key", "k", "leaf"), ["text_key", "k"])
+    families = rows.groupBy("leaf", "text_key").agg(F.min("family").alias("family")).groupBy("leaf", "family").agg(F.count(F.lit(1)).alias("n"))
+    drop = families.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_families")).where(F.col("n_families") >= min_docs)
+    drop = store.put(drop.select("leaf"), "templates")
+    return shared.join(drop, "leaf", "left_semi").select("text_key", "at").distinct()
 
 
-def dedupe(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
+def dedupe(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """All columns of ``docs``, ``text`` without the lines of recurring templates, n_lines and n_dropped."""
     store = Store(docs.sparkSession)
-    lines = store.put(with_leaves(docs, depth), "lines")
-    drop = store.put(recurring(lines, store, min_docs), "templates")
-    hit = lines.join(drop.select("leaf"), "leaf").groupBy("doc_id").agg(F.collect_set("leaf").alias("bad"))
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "bad")]
-    rows = docs.select(*rest).join(hit, "doc_id", "left")
-    all_lines = F.split("text", "\n")
-    kept = F.when(F.col("bad").isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: ~F.coalesce(F.array_contains("bad", templates(x, depth)), F.lit(False))))
-    rows = rows.withColumn("kept", kept)
-    out = rows.select(*[F.array_join("kept", "\n").alias("text") if c == "text" else F.col(c) for c in rest], F.size(all_lines).alias("n_lines"), (F.size(all_lines) - F.size("kept")).alias("n_dropped"))
-    return out.withColumns({c: F.when(F.col("text").isNull(), 0).otherwise(F.col(c)).cast("long") for c in ("n_lines", "n_dropped")})
+    lines = with_leaves(docs.select("text")).groupBy("text_key", "k").agg(*[F.min(c).alias(c) for c in ("at", "n", "l0", "l1", "l2", "l3")])
+    bad = recurring(store.put(lines, "lines"), store, min_docs).groupBy("text_key").agg(F.collect_list("at").alias("bad"))
+    bad = store.put(bad, "places")
+    for name in ("lines", "first", "shared", "templates"):
+        store.drop(name)
+    rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    key, gone = unused("text_key", rest), unused("bad", rest)
+    rows = docs.select(*rest, F.xxhash64("text").alias(key)).join(bad.select(F.col("text_key").alias(key), F.col("bad").alias(gone)), key, "left")
+    # both in hand as lists of places: the lines themselves aren't parsed again
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(gone), i))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    n_dropped = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long")
+    return rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in rest], n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
