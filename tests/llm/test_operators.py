@@ -190,7 +190,7 @@ def test_line_dedup_by_brute_force(spark):
     texts += [texts[3]] * 5 + ["\n".join([*texts[5].split("\n"), prose(5, k)]) for k in range(4)]
     key = {t: xxhash.xxh64_intdigest(t.encode(), 42) for t in texts}
     key = {t: k - (1 << 64) if k >> 63 else k for t, k in key.items()}
-    parsed = {}
+    parsed, size = {}, {}
     for t, doc in key.items():
         rows = []
         for at, line in enumerate(t.split("\n")):
@@ -201,8 +201,9 @@ def test_line_dedup_by_brute_force(spark):
             cut = [0, n // 3, 2 * n // 3, n]
             own = [("short", *raw)] if n < 3 else [(n, None, *g)]
             own += [(n, k, *g[: cut[k]], "", *g[cut[k + 1] :]) for k in range(3) if n - (cut[k + 1] - cut[k]) >= 4]
-            rows.append((at, n, own))
+            rows.append((at, len(regex.sub(r"\s+", " ", line)), own))
         parsed[doc] = rows
+        size[doc] = sum(len(regex.sub(r"\s+", " ", line)) for line in t.split("\n"))
     holders = {}
     for doc, rows in parsed.items():
         for _, _, own in rows:
@@ -214,7 +215,8 @@ def test_line_dedup_by_brute_force(spark):
         words = Counter({doc: 0})
         for (_, n, _), f in zip(rows, firsts, strict=True):
             words[doc if f is None else f] += n
-        total = sum(words.values())
+        total = size[doc]
+        words[doc] += total - sum(words.values())
         for i, f in enumerate(firsts):
             if f is None:
                 continue
