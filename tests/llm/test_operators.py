@@ -378,6 +378,45 @@ def test_a_passage_whose_seeds_are_first_in_another_document(spark):
     assert set(got) == {9} and 5 in got[9].partners and got[9].start <= 42 and got[9].start + got[9].n_words >= 98
 
 
+def test_seeds_by_brute_force():
+    r, hashed = random.Random(13), substring_dedup.Hashed()
+    texts = [prose(n, 9000 + n).encode().split() for n in (0, 3, 4, 5, 8, 11, 12, 13, 200)] + [[b"ha"] * 40, [], [b"a", b"b"] * 30]
+    texts += [r.choices([b"x", b"y", b"z"], k=r.randrange(60)) for _ in range(50)]
+    h, at, owner = substring_dedup.seeds_of(texts, hashed)
+    for i, words in enumerate(texts):
+        own = substring_dedup.runs_of(words, hashed, 5) if len(words) >= 5 else np.zeros(0, "uint64")
+        wins = [own[j : j + 8] for j in range(max(1, len(own) - 7))] if len(own) else []
+        expect = {j + d for j, w in enumerate(wins) for d in range(len(w)) if w[d] == w.min()}
+        assert set(at[owner == i].tolist()) == expect and (h[owner == i].view("uint64") == own[at[owner == i]]).all()
+
+
+def test_an_id_of_several_texts_and_copies(spark):
+    long, other = prose(80, 41), prose(90, 42)
+    rows = [(1, long), (1, other), (1, other), (2, long + " " + prose(30, 43)), (3, other + " " + prose(30, 44)), (5, prose(70, 45)), (5, prose(70, 45)), (6, prose(70, 45)), (9, prose(70, 45)), (8, prose(20, 46)), (10, prose(20, 46))]
+    got = {r.doc_id: r for r in substring_dedup.find(frame(spark, rows)).collect()}
+    held = 2 if xxhash.xxh64_intdigest(long.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(long.encode(), 42) >> 63) < xxhash.xxh64_intdigest(other.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(other.encode(), 42) >> 63) else 3
+    assert set(got) == {held, 6, 9} and got[held].partners == [1]
+    assert all((got[i].start, got[i].n_words, got[i].partners) == (0, 70, [5]) for i in (6, 9))
+
+
+def test_recall_behind_earlier_pieces(spark):
+    """Changed passages of which each piece is in another document first, against chaining all documents with all."""
+    rows, expect = [], {}
+    for i in range(20):
+        own = [f"q{i}-{j}" for j in range(100)]
+        base = 100 * i
+        rows += [(base + c, f"{prose(20, 8000 + base + c)} {' '.join(own[c * 24 : c * 24 + 24])} {prose(20, 8050 + base + c)}") for c in range(4)]
+        rows.append((base + 10, f"{prose(40, 8060 + base)} {' '.join(own)} {prose(40, 8061 + base)}"))
+        rows += [(base + 20 + c, f"{prose(20, 8070 + base + c)} {' '.join(own[c * 24 + 5 : c * 24 + 29])} {prose(20, 8080 + base + c)}") for c in range(3)]
+        ats = {13 + i % 5, 47 + i % 7, 80 + i % 3}
+        rows.append((base + 30, f"{prose(40, 8062 + base)} {' '.join(changed(own, ats))} {prose(40, 8063 + base)}"))
+        expect[base + 30] = base + 10
+    got = {x.doc_id: x for x in substring_dedup.find(frame(spark, rows)).collect()}
+    hits = sum(k in got and v in got[k].partners and got[k].n_words >= 80 for k, v in expect.items())
+    print("recall behind earlier pieces", hits / len(expect))
+    assert hits >= 0.9 * len(expect)
+
+
 def test_every_exact_repeat_is_in_a_region(spark):
     """Against all 50-word windows: loops of few words, passages whose parts stand in other documents first, long runs."""
     r = random.Random(8)

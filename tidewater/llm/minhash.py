@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import Store
-from tidewater.llm.substring_dedup import Hashed, runs_of, texts_of
+from tidewater.llm.substring_dedup import Hashed, one_text, runs_of, texts_of
 
 WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
 #: Permutations of 64-bit hashes: products with odd numbers.
@@ -57,7 +57,7 @@ def links(docs: DataFrame, store: Store, width: int = WIDTH, similarity: float =
     first = keys.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b < last").select("key", "b")
     first = store.put(first, "first_bands")  # a stored table: its join can be split where a key is hot
     pairs = store.put(keys.join(first, "key").where("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct(), "pairs")
-    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    texts = texts_of(one_text(docs, store), pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     for side in "ab":
         pairs = pairs.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"{side}_text")), side)
 
