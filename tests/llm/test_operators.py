@@ -379,12 +379,12 @@ def test_a_passage_whose_seeds_are_first_in_another_document(spark):
 
 
 def test_seeds_by_brute_force():
-    r, hashed = random.Random(13), substring_dedup.Hashed()
+    r = random.Random(13)
     texts = [prose(n, 9000 + n).encode().split() for n in (0, 3, 4, 5, 8, 11, 12, 13, 200)] + [[b"ha"] * 40, [], [b"a", b"b"] * 30]
     texts += [r.choices([b"x", b"y", b"z"], k=r.randrange(60)) for _ in range(50)]
-    h, at, owner = substring_dedup.seeds_of(texts, hashed)
+    h, at, owner = substring_dedup.seeds_of([b" \t".join(t) + b"\n" for t in texts])
     for i, words in enumerate(texts):
-        own = substring_dedup.runs_of(words, hashed, 5) if len(words) >= 5 else np.zeros(0, "uint64")
+        own = substring_dedup.runs_of(substring_dedup.word_hashes([b" ".join(words)])[0], 5) if len(words) >= 5 else np.zeros(0, "uint64")
         wins = [own[j : j + 8] for j in range(max(1, len(own) - 7))] if len(own) else []
         expect = {j + d for j, w in enumerate(wins) for d in range(len(w)) if w[d] == w.min()}
         assert set(at[owner == i].tolist()) == expect and (h[owner == i].view("uint64") == own[at[owner == i]]).all()

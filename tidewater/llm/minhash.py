@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Store
-from tidewater.llm.substring_dedup import Hashed, one_text, runs_of, texts_of
+from tidewater.llm.common import Store, slices
+from tidewater.llm.substring_dedup import one_text, runs_of, texts_of, word_hashes
 
 WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
 #: Permutations of 64-bit hashes: products with odd numbers.
@@ -25,14 +25,21 @@ FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype="in
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def shingle_set(text: str | None, hashed: Hashed, width: int) -> np.ndarray:
-    """Sorted hashes of the shingles; the whole sequence is one where there are fewer words."""
-    words = (text or "").encode().lower().split()
-    return np.unique(runs_of(words, hashed, min(width, len(words)))) if words else np.zeros(0, "uint64")
+def shingle_set(power: np.ndarray, width: int) -> np.ndarray:
+    """Sorted hashes of the shingles, from those of the words; the whole sequence is one where there are fewer words."""
+    return np.unique(runs_of(power, min(width, len(power)))) if len(power) else np.zeros(0, "uint64")
+
+
+def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    power, sizes = word_hashes([(t or "").encode() for t in texts])
+    return [shingle_set(p, width) for p in np.split(power, np.cumsum(sizes)[:-1])]
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
-    least = np.array([(shingles * f).min() for f in FACTORS]).reshape(BANDS, ROWS)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, "uint64")
+    for at in range(0, len(shingles), 1024):
+        np.minimum(least, np.multiply.outer(FACTORS, shingles[at : at + 1024]).min(1), out=least)
+    least = least.reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype="uint64")
     for k in range(ROWS):
         key = (key ^ least[:, k]) * MIX
@@ -45,11 +52,9 @@ def links(docs: DataFrame, store: Store, width: int = WIDTH, similarity: float =
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = Hashed()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                sets = [(i, s) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if len(s := shingle_set(t, hashed, width))]
+            for part in slices(batch, size=1 << 20):
+                sets = [(i, s) for i, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), width), strict=True) if len(s)]
                 if sets:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([band_keys(s) for _, s in sets])), pa.array(np.repeat([i for i, _ in sets], BANDS))], ["key", "doc_id"])
 
@@ -62,13 +67,12 @@ def links(docs: DataFrame, store: Store, width: int = WIDTH, similarity: float =
         pairs = pairs.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"{side}_text")), side)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = Hashed()
         for batch in batches:
             keep, held = [], (None, None)
             for a, b, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held[0] != b:
-                    held = b, shingle_set(t, hashed, width)
-                x, y = shingle_set(s, hashed, width), held[1]
+                    held = b, shingle_sets([t], width)[0]
+                x, y = shingle_sets([s], width)[0], held[1]
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if common >= similarity * (len(x) + len(y) - common):
                     keep.append((a, b))
