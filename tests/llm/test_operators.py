@@ -313,8 +313,28 @@ def test_decontamination_by_brute_force(spark):
                 a = Counter(zip(*[w[s + j : s + len(own)] for j in range(5)], strict=False))
                 if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
                     expect.add((i, k))
-    got = {(x.doc_id, x.item_id) for x in decontaminate.find(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert got == expect and len(expect) >= 20
+    for table in (decontaminate.TABLE, 0):
+        got = {(x.doc_id, x.item_id) for x in decontaminate.find(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), table=table).collect()}
+        assert got == expect and len(expect) >= 20
+
+
+def test_short_and_very_long_items(spark):
+    long = prose(9000, 320)
+    items = [(1, long), (2, "two words"), (3, "Alone"), (4, "a b c d"), (5, ""), (6, None)]
+    tail = " ".join(long.split()[-8:])
+    rows = [(1, prose(20, 321) + " " + tail), (2, prose(20, 322) + " " + long + " " + prose(20, 323)), (3, "here are two, words -- alone"), (4, "a b c d"), (5, "a b c"), (6, "two"), (7, prose(30, 1))]
+    for table in (decontaminate.TABLE, 0):  # the second joins with the shingles
+        found = decontaminate.find(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), similarity=1.0, table=table).collect()
+        assert {(x.doc_id, x.item_id) for x in found} == {(2, 1), (3, 2), (3, 3), (4, 4)} and all(x.similarity == 1 for x in found)
+
+
+def test_simhash_of_many_words(spark):
+    for n in (16_383, 16_384, 20_001):
+        w = prose(n, 330).split()
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+        expect = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > n)
+        got = spark.createDataFrame([(" ".join(w),)], "t string").selectExpr("split(t, ' ') AS w").select(F.expr(decontaminate.simhash("w")).alias("fp")).first().fp
+        assert got & (1 << 64) - 1 == expect
 
 
 def test_items_that_overlap_in_one_long_row(spark):

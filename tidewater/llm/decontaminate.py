@@ -5,21 +5,24 @@ similarity of their word shingles, each weighted by how often it occurs, is ``si
 of letters and digits in lower case, so case, punctuation and symbols between words don't hide a passage.
 
 1. A window that is like an item shares most shingles with it, so some of its shingles stand in a row. A bit table of
-   the items' shingles shows where a document may have such a row; a join with the shingles confirms it, and windows
-   that hold enough of an item's shingles stay. No window that is like the item is lost here.
+   the items' shingles, 16 bits for each, shows where a document may have such a row (above ``TABLE`` shingles a join with
+   them shows it); a join with the shingles confirms it, and windows that hold enough of an item's shingles stay. No
+   window that is like the item is lost here.
 2. Each window and item has a 64-bit SimHash of its words. Its ``radius`` + 1 blocks are keys of an equi-join together
    with the number of words: fingerprints within the radius agree in one block at least. A pair counts at its first
    common block only, and only within the radius.
 3. The similarity itself is computed for what is left.
 
-Items of under ``width`` words match nothing; items above ``PART`` words are looked for in parts of that length. Null
-texts have no words. Repeated rows count once (the result is by ids); null ids are in no result; other columns of the
-inputs are ignored.
+Shingles have ``width`` words; of an item with fewer words, all of them. Items and texts of any length are compared as
+wholes. Null and empty texts have no words, and items without words match nothing. Repeated rows count once (the result is
+by ids); null ids are in no result, so a caller that must judge such rows gives them a key of their own. Other columns of
+the inputs are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +32,10 @@ from tidewater.llm.common import Store
 WIDTH = 5
 SIMILARITY = 0.8
 RADIUS = 15
-#: The shingle table is broadcast up to so many rows (24 bytes each), and fills a table of 16 places a row.
+#: The items' shingles are broadcast up to so many rows (24 bytes each); above, they are joined by a shuffle.
 BROADCAST_SEEDS = 1_000_000
-PART = 8192
+#: Up to so many shingles the bit table is used, which is then 16 MB at most.
+TABLE = 1_000_000
 
 
 def plain_words(text: Column) -> Column:
@@ -51,14 +55,18 @@ def shingles(width: int) -> str:
 
 
 def simhash(words: str) -> str:
-    """SQL of the SimHash of a list of up to 16,383 words: 16 sums, each of four counters of 16 bits."""
-    ones, high = "281479271743489L", "4611756387171565568L"  # 1 and 16384 in each counter
-    bits = []
+    """SQL of the SimHash of a list of words: 16 sums, each of four counters of 16 bits; 32 of two above 16,383 words."""
+    ones, high = "281479271743489L", "4611756388245323776L"  # 1 and 16384 in each counter
+    few, many = [], []
     for j in range(16):
         total = f"aggregate(h, 0L, (a, x) -> a + (shiftrightunsigned(x, {j}) & {ones}))"
         # with 16383 - n/2 added, a counter over half of n reaches its bit 14
-        bits.append(f"shiftleft(shiftrightunsigned(({total} + (16383 - size(h) DIV 2) * {ones}) & {high}, 14), {j})")
-    return bound("h", f"transform({words}, x -> xxhash64(x))", " | ".join(bits))
+        few.append(f"shiftleft(shiftrightunsigned(({total} + (16383 - size(h) DIV 2) * {ones}) & {high}, 14), {j})")
+    for j in range(32):
+        total = f"aggregate(h, 0L, (a, x) -> a + (shiftrightunsigned(x, {j}) & 4294967297L))"
+        # likewise with 2^30 - 1 - n/2 and bit 30
+        many.append(f"shiftleft(shiftrightunsigned(({total} + (1073741823L - size(h) DIV 2) * 4294967297L) & 4611686019501129728L, 30), {j})")
+    return bound("h", f"transform({words}, x -> xxhash64(x))", f"CASE WHEN size(h) <= 16383 THEN {' | '.join(few)} ELSE {' | '.join(many)} END")
 
 
 def blocks(fp: str, n: int) -> list[str]:
@@ -78,39 +86,54 @@ def shared(n: int, width: int, similarity: float) -> tuple[int, int]:
 
 def bit_table(seeds: DataFrame, size: int) -> DataFrame:
     """One row with ``bits``: an array of ``size`` booleans, true where a shingle's hash falls."""
-    used = seeds.select(F.pmod("h", F.lit(size)).alias("id")).distinct().withColumn("hit", F.lit(True))
-    every = seeds.sparkSession.range(size).join(used, "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("hit"))
-    return every.agg(F.sort_array(F.collect_list(F.struct("id", "hit"))).alias("all")).select(F.col("all.hit").alias("bits"))
+    place = F.pmod("h", F.lit(size))
+    used = seeds.groupBy(F.floor(place / 64).alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("word"))
+    every = seeds.sparkSession.range(size // 64).join(used, "id", "left").select("id", F.coalesce("word", F.lit(0)).alias("word"))
+    words = every.agg(F.sort_array(F.collect_list(F.struct("id", "word"))).alias("all")).select(F.col("all.word").alias("words"))
+    return words.select(F.expr("flatten(transform(words, x -> transform(sequence(0, 63), i -> (shiftrightunsigned(x, i) & 1L) = 1L)))").alias("bits"))
 
 
-def find(docs: DataFrame, items: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS, table: int = TABLE) -> DataFrame:
     """doc_id, item_id, start (of the best window, in words), n_words, hamming, similarity; one row for each item in a document."""
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
     store = Store(docs.sparkSession)
-    known = items.where("item_id is not null").select("item_id", plain_words(F.col("text")).alias("w"))
-    known = known.select("item_id", F.explode(F.expr(f"CASE WHEN size(w) = 0 THEN CAST(array() AS array<array<string>>) ELSE transform(sequence(0, (size(w) - 1) DIV {PART}), k -> slice(w, CAST(k * {PART} + 1 AS INT), {PART})) END")).alias("w"))
-    known = known.select("item_id", F.size("w").alias("n"), F.expr(f"sort_array({shingles(width)})").alias("g"), F.expr(simhash("w")).alias("item_fp")).where(f"n >= {width}").distinct()
-    known = store.put(known, "items")
-    seeds = store.put(known.select("item_id", "n", F.explode(F.array_distinct("g")).alias("h")).distinct(), "seeds")
+    known = items.where("item_id is not null").select("item_id", plain_words(F.col("text")).alias("w")).withColumn("n", F.size("w")).where("n > 0").distinct()
+    known = store.put(known, "all_items")
+    short = sorted(r.n for r in known.where(f"n < {width}").select("n").distinct().collect())
+    found = [find_items(docs, known.where(f"n >= {k}" if k == width else f"n = {k}"), store, k, similarity, radius, table) for k in [*short, width]]
+    return reduce(DataFrame.unionByName, found)
+
+
+def find_items(docs: DataFrame, known: DataFrame, store: Store, width: int, similarity: float, radius: int, table: int) -> DataFrame:
+    """As ``find``, of items (item_id, w, n) of ``width`` words or more."""
+    known = known.select("item_id", "n", F.expr(f"sort_array({shingles(width)})").alias("g"), F.expr(simhash("w")).alias("item_fp"))
+    known = store.put(known, f"items-{width}")
+    seeds = store.put(known.select("item_id", "n", F.explode(F.array_distinct("g")).alias("h")).distinct(), f"seeds-{width}")
     n_seeds, n_items = seeds.count(), known.count()
     sizes = sorted(r.n for r in known.select("n").distinct().collect())
     longest = sizes[-1] if sizes else width
     row = min((math.ceil(c / (m - c + 1)) for m, c in (shared(n, width, similarity) for n in sizes)), default=1)
-    size = 1 << max(10, math.ceil(math.log2(16 * max(1, min(n_seeds, BROADCAST_SEEDS)))))
+    size = 1 << max(10, math.ceil(math.log2(16 * max(1, n_seeds))))
     small = (lambda df: F.broadcast(df)) if max(n_seeds, n_items * (radius + 1)) <= BROADCAST_SEEDS else (lambda df: df)
 
     # where a row of the items' shingles may be, with the words about it; a long row in parts of the longest item's length
     hashed = ", ".join(f"w[i + {k}]" for k in range(width))
-    near = f"CASE WHEN size(w) < {width} THEN CAST(array() AS array<int>) ELSE filter(sequence(0, size(w) - {width}), i -> bits[CAST(pmod(xxhash64({hashed}), {size}L) AS INT)]) END"
     runs = f"filter(zip_with(filter(p, (x, k) -> k = 0 OR get(p, k - 1) <> x - 1), filter(p, (x, k) -> coalesce(get(p, k + 1) <> x + 1, true)), (x, e) -> named_struct('x', x, 'e', e)), r -> r.e - r.x + 1 >= {row})"
     base, end = f"greatest(0, x - {longest})", f"least(r.e, x + {longest}) + {longest + 1}"
     about = f"flatten(transform(b, r -> transform(sequence(r.x, r.e - {row - 1}, {longest}), x -> named_struct('base', {base}, 'ctx', slice(w, {base} + 1, {end} - {base})))))"
-    table = bit_table(seeds, size)
-    rows = docs.where("doc_id is not null").select("doc_id", plain_words(F.col("text")).alias("w"), table.scalar().alias("bits"))
+    rows = docs.where("doc_id is not null").select("doc_id", plain_words(F.col("text")).alias("w"))
+    if n_seeds <= table:
+        rows = rows.withColumn("bits", bit_table(seeds, size).scalar())
+        near = f"CASE WHEN size(w) < {width} THEN CAST(array() AS array<int>) ELSE filter(sequence(0, size(w) - {width}), i -> bits[CAST(pmod(xxhash64({hashed}), {size}L) AS INT)]) END"
+    else:
+        rows = rows.withColumn("key", F.xxhash64("w"))
+        met = rows.select("doc_id", "key", F.posexplode(F.expr(shingles(width))).alias("at", "h")).join(seeds.select("h").distinct(), "h", "left_semi")
+        rows = rows.join(met.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("at")).alias("near")), ["doc_id", "key"])
+        near = "near"
     rows = rows.select("doc_id", F.expr(bound("w", "w", bound("p", near, bound("b", runs, about)))).alias("places"))
     places = rows.select("doc_id", F.explode("places").alias("x")).select("doc_id", "x.base", F.col("x.ctx").alias("w"))
-    places = store.put(places.distinct(), "places")
+    places = store.put(places.distinct(), f"places-{width}")
 
     # windows with enough shingles of an item of their length
     hits = places.select("doc_id", "base", F.posexplode(F.expr(shingles(width))).alias("at", "h")).join(small(seeds), "h")
