@@ -272,7 +272,7 @@ def test_fingerprints_and_components_by_brute_force(spark):
     for _ in range(8):
         for a in fps:
             label[a] = min(label[b] for b in fps if (fps[a] ^ fps[b]).bit_count() <= 3)
-    for members in (1024, 4):  # the second deals every group over several tasks
+    for members in (2048, 30, 4):  # the last refines cells and deals groups over several tasks
         got = {x.doc_id: x for x in simhash.group(frame(spark, rows), members=members).collect()}
         assert {i: x.fp & (1 << 64) - 1 for i, x in got.items()} == fps
         assert {i: x.component_id for i, x in got.items()} == label
@@ -286,10 +286,30 @@ def test_gray_index_finds_all_links():
     for k in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(k)
     fp = fp[np.argsort(rank)]
-    a, b = simhash.gray_links(fp, np.zeros(len(fp), "int64"), np.zeros(len(fp), "int64"), np.zeros(len(fp), bool), 3)
-    assert (np.bitwise_count(fp[a] ^ fp[b]) <= 3).all()
+    differ = np.bitwise_count(fp[:, None] ^ fp[None, :])
+    for upper in (1, 3):
+        a, b = simhash.gray_links(fp, np.zeros(len(fp), "int64"), np.zeros(len(fp), "int64"), np.zeros(len(fp), bool), 3, upper)
+        assert (differ[a, b] <= 3).all()
+        x, y = np.nonzero((differ <= 3) & (np.bitwise_count((fp[:, None] ^ fp[None, :]) & simhash.UPPER) <= upper))
+        own, all_ = simhash.roots(len(fp), a, b), simhash.roots(len(fp), x, y)
+        assert (own[x] == own[y]).all() and (upper == 1 or (own == all_).all())
+
+
+def test_links_of_dense_and_sparse_cells(spark):
+    r = np.random.default_rng(5)
+    fp = r.integers(0, 1 << 63, 600, dtype="int64").view("uint64")
+    centre = np.uint64(0x123456789ABCDEF0)
+    near = centre ^ (np.uint64(1) << r.integers(0, 64, (400, 4)).astype("uint64")).sum(1).astype("uint64")
+    low = centre ^ r.integers(0, 1 << 10, 300, dtype="int64").view("uint64")  # all of one upper half
+    far = fp[:200] ^ (np.uint64(1) << r.integers(0, 64, 200).astype("uint64"))
+    fp = np.unique(np.concatenate([fp, near, low, far]))
+    nodes = spark.createDataFrame(list(zip(fp.view("int64").tolist(), range(len(fp)), strict=True)), "fp long, node long")
     x, y = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3)
-    assert (simhash.roots(len(fp), a, b) == simhash.roots(len(fp), x, y)).all()
+    expect = simhash.roots(len(fp), x, y)
+    for members in (4096, 100, 16):
+        found = np.array([(e.a, e.b) for e in simhash.links(nodes, 3, members).collect()])
+        assert (np.bitwise_count(fp[found[:, 0]] ^ fp[found[:, 1]]) >= 1).all()
+        assert (simhash.roots(len(fp), found[:, 0], found[:, 1]) == expect).all()
 
 
 def test_decontamination_by_brute_force(spark):

@@ -4,24 +4,28 @@ Fingerprints: the text in ASCII lower case, words, shingles of ``width`` words w
 there are fewer words), XXH64 with seed 42; a bit is 1 if it is 1 in over half of the hashes. A text without words, a
 null text included, has fingerprint 0.
 
-Links: two fingerprints link at ``radius`` differing bits or fewer. Equal fingerprints are one node from the start.
-The 64 bits are cut into radius + 2 blocks; fingerprints within the radius agree in two blocks at least, so they meet
-under one of the pairs of blocks. What meets there is sorted by Gray rank, which puts fingerprints that share many bits
-side by side; runs of them make a node that holds the bits they all share, runs of nodes make an upper node, and two
-trees are searched downward together: the differences found in the shared bits of upper nodes are carried along, and a
-pair of nodes is left as soon as they exceed the radius, or linked as a whole where the open bits can't. Groups above
-``group`` members are dealt over several tasks, one for each pair of their parts, so no task holds more than twice that.
+Links: two fingerprints link at ``radius`` differing bits or fewer. Equal fingerprints are one node from the start. Of such a
+pair one half differs in half the radius or less (one bit of three). So there are two indexes, over the fingerprints and over
+those with their halves exchanged, and each looks for pairs of which the upper half differs in so few bits. An index is
+sorted by Gray rank, which puts fingerprints that share many bits side by side, and dealt in ranges of the rank: cells of
+equal leading bits, of about ``members`` fingerprints. Runs of them make a node that holds the bits they all share, runs of nodes
+make an upper node; a cell is searched against itself and each cell that may hold partners, two trees downward together:
+the differences found in the shared bits of upper nodes are carried along, and a pair of nodes is left as soon as they
+exceed the radius, in all or in the upper half, or linked as a whole where the open bits can't. Cells above ``members`` are
+refined by the rest of the upper half, which copies nothing between cells and a row for each bit within one; only groups that
+share the whole upper half and are still larger are dealt over several tasks, one for each pair of their parts.
 
 Components: every task gives a spanning forest, and large-star / small-star rounds over stored tables join them.
 
 A row without id gets the component of its fingerprint, null if no row with an id shares it. Repeated rows are repeated in
-the result. Other columns of the input are ignored.
+the result; texts of any length are read to their end; an empty table gives an empty result. Other columns of the input are
+ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Store
+from tidewater.llm.common import Store, slices
 
 SEED = 42
 FAN = 8
@@ -76,8 +80,7 @@ def fingerprint(docs: DataFrame, width: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for part in slices(batch, rows=200, size=1 << 20):
                 fp = fingerprints([shingle_hashes(t, width) for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view("int64"))], ["doc_id", "fp"])
 
@@ -104,8 +107,12 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def gray_links(fp: np.ndarray, group: np.ndarray, side: np.ndarray, split: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (positions a, b) between members of one group, enough to connect all within ``radius``.
+UPPER = np.uint64(0xFFFFFFFF00000000)
+
+
+def gray_links(fp: np.ndarray, group: np.ndarray, side: np.ndarray, split: np.ndarray, radius: int, upper: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions a, b) between members of one group, enough to connect all within ``radius`` of which the upper half
+    differs in ``upper`` bits at most.
 
     Members come by group and Gray rank. Where ``split``, only pairs of different ``side`` are looked for.
     """
@@ -130,13 +137,14 @@ def gray_links(fp: np.ndarray, group: np.ndarray, side: np.ndarray, split: np.nd
         heads.append(heads[-1][first])
     a = b = np.arange(len(levels[-1][0]))
     seen = np.zeros(len(a), "uint64")
-    found = np.zeros(len(a), "int64")
+    found = above = np.zeros(len(a), "int64")
     for k in range(len(levels) - 1, -1, -1):
         _, _, mask, pattern, _ = levels[k]
         common = mask[a] & mask[b]
-        found = found + np.bitwise_count((pattern[a] ^ pattern[b]) & common & ~seen)
-        near = found <= radius
-        a, b, common, found = a[near], b[near], common[near], found[near]
+        unlike = (pattern[a] ^ pattern[b]) & common & ~seen
+        found, above = found + np.bitwise_count(unlike), above + np.bitwise_count(unlike & UPPER)
+        near = (found <= radius) & (above <= upper)
+        a, b, common, found, above = a[near], b[near], common[near], found[near], above[near]
         whole = found + np.bitwise_count(~common) <= radius
         if k == 0:
             whole = (a != b) & ~(split[a] & (side[a] == side[b]))
@@ -154,7 +162,7 @@ def gray_links(fp: np.ndarray, group: np.ndarray, side: np.ndarray, split: np.nd
         size = hi - lo
         out_a.append(np.repeat(lo, size))
         out_b.append(np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-        a, b, common, found = a[~plain], b[~plain], common[~plain], found[~plain]
+        a, b, common, found, above = a[~plain], b[~plain], common[~plain], found[~plain], above[~plain]
         first, last = levels[k][0], levels[k][1]
         na, nb = last[a] - first[a], last[b] - first[b]
         size = na * nb
@@ -162,27 +170,51 @@ def gray_links(fp: np.ndarray, group: np.ndarray, side: np.ndarray, split: np.nd
         wide = np.repeat(nb, size)
         ca, cb = np.repeat(first[a], size) + at // wide, np.repeat(first[b], size) + at % wide
         keep = ca <= cb
-        a, b, seen, found = ca[keep], cb[keep], np.repeat(common, size)[keep], np.repeat(found, size)[keep]
+        a, b, seen, found, above = ca[keep], cb[keep], np.repeat(common, size)[keep], np.repeat(found, size)[keep], np.repeat(above, size)[keep]
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def block_keys(fp: Column, radius: int) -> Column:
-    """An array of one number for each pair of the radius + 2 blocks: which pair, and the bits in it."""
-    n = radius + 2
-    cuts = [64 * i // n for i in range(n + 1)]
-    blocks = [F.shiftrightunsigned(fp, cuts[i]).bitwiseAND(F.lit((1 << cuts[i + 1] - cuts[i]) - 1)) for i in range(n)]
-    return F.array(*[F.xxhash64(F.lit(k), blocks[i], blocks[j]) for k, (i, j) in enumerate(combinations(range(n), 2))])
+def pair_of(own: Column, bits: int, low: int = 0) -> Column:
+    """An array of cells to meet: (least, largest, side, split) of the cell itself, and of it and each that differs in one bit.
+
+    ``own`` has the cell's number in ``bits`` bits from bit ``low`` on.
+    """
+    other = [own.bitwiseXOR(F.lit(1 << low + i)) for i in range(bits)]
+    meet = [F.struct(own.alias("p"), own.alias("q"), F.lit(0).alias("side"), F.lit(False).alias("split"))]
+    return F.array(*meet, *[F.struct(F.least(own, x).alias("p"), F.greatest(own, x).alias("q"), (own > x).cast("int").alias("side"), F.lit(True).alias("split")) for x in other])
 
 
-def links(nodes: DataFrame, radius: int = 3, group: int = 1024) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 3, members: int = 2048) -> DataFrame:
     """Of nodes (fp, node): a, b with a > b, which connect all nodes within the radius."""
-    keyed = nodes.select("fp", "node", F.explode(block_keys(F.col("fp"), radius)).alias("key"))
-    large = keyed.groupBy("key").count().where(F.col("count") > group).select("key", F.ceil(F.col("count") / group).cast("int").alias("parts"))
-    keyed = keyed.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    keyed = keyed.withColumn("side", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int"))
-    keyed = keyed.select("fp", "node", "key", "side", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    keyed = keyed.select("fp", "node", "key", "side", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"))
-    keyed = keyed.select("fp", "node", F.xxhash64("key", "p", "q").alias("key"), "side", (F.col("p") != F.col("q")).alias("split"))
+    if radius > 3:
+        raise ValueError("cells meet cells that differ in one bit, which is half of a radius of 3")
+    bits = min(32, max(0, math.ceil(math.log2(max(1, nodes.count()) / members))))
+    turned = F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
+    both = nodes.select("node", F.explode(F.array(F.struct(F.lit(0).alias("order"), "fp"), F.struct(F.lit(1).alias("order"), turned.alias("fp")))).alias("x")).select("node", "x.order", "x.fp")
+    half = F.shiftrightunsigned("fp", 32)  # the upper one
+    cells = both.withColumn("x", F.explode(pair_of(F.shiftrightunsigned("fp", 64 - bits) if bits else F.lit(0).cast("long"), bits)))
+    cells = cells.select("node", "fp", "x.side", "x.split", F.xxhash64("order", "x.p", "x.q").alias("key"))
+
+    def large(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > members)
+
+    # cells of different leading bits have the rest of the half in common, cells by themselves all but one of its bits
+    rest = half.bitwiseAND(F.lit((1 << 32 - bits) - 1))
+    marked = cells.join(large(cells), "key", "left")
+    equal = F.array(F.struct(rest.alias("p"), rest.alias("q"), F.col("side").alias("side"), F.col("split").alias("split")))
+    finer = marked.where("n is not null").withColumn("x", F.explode(F.when(F.col("split"), equal).otherwise(pair_of(rest, 32 - bits))))
+    finer = finer.select("node", "fp", "x.side", "x.split", F.xxhash64("key", "x.p", "x.q").alias("key"))
+    cells = marked.where("n is null").drop("n").unionByName(finer)
+
+    # what is still large: pairs of parts, each found by sides and parts alike
+    marked = cells.join(large(cells).select("key", F.ceil(F.col("n") / members).cast("int").alias("parts")), "key", "left")
+    part = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int")
+    dealt = marked.where("parts is not null").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # members of two cells meet in both orders of their parts, those of one cell in one
+    p, q = F.when(F.col("split") & (F.col("side") == 1), F.col("other")).otherwise(F.col("part")), F.when(F.col("split") & (F.col("side") == 1), F.col("part")).otherwise(F.col("other"))
+    p, q = F.when(F.col("split"), p).otherwise(F.least(p, q)), F.when(F.col("split"), q).otherwise(F.greatest(p, q))
+    parted = dealt.select("node", "fp", F.xxhash64("key", p, q).alias("key"), F.when(F.col("split"), F.col("side")).otherwise(F.col("part")).alias("side"), (F.col("split") | (p != q)).alias("split"))
+    keyed = marked.where("parts is null").select("node", "fp", "key", "side", "split").unionByName(parted)
     dealt = keyed.repartition("key").sortWithinPartitions("key", gray_rank(F.col("fp")))
 
     def solve(fp: np.ndarray, node: np.ndarray, key: np.ndarray, side: np.ndarray, split: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -195,7 +227,7 @@ def links(nodes: DataFrame, radius: int = 3, group: int = 1024) -> DataFrame:
         while at < len(sizes):
             to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + 4_000_000, "right")))
             own = slice(ends[at] - sizes[at], ends[to - 1])
-            a, b = gray_links(fp[own], key[own], side[own], split[own], radius)
+            a, b = gray_links(fp[own], key[own], side[own], split[own], radius, radius // 2)
             order = np.argsort(node[own], kind="stable")  # the smallest node becomes the root
             rank = np.empty_like(order)
             rank[order] = np.arange(len(order))
@@ -246,7 +278,7 @@ def components(store: Store, found: DataFrame, max_rounds: int = 60) -> DataFram
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def group(docs: DataFrame, width: int = 3, radius: int = 3, members: int = 1024) -> DataFrame:
+def group(docs: DataFrame, width: int = 3, radius: int = 3, members: int = 2048) -> DataFrame:
     """doc_id, fp and component_id (the smallest id reachable over links, itself included) of each row."""
     store = Store(docs.sparkSession)
     marked = store.put(fingerprint(docs, width), "fingerprints")
