@@ -307,7 +307,7 @@ def test_links_of_dense_and_sparse_cells(spark):
     x, y = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3)
     expect = simhash.roots(len(fp), x, y)
     for members in (4096, 100, 16):
-        found = np.array([(e.a, e.b) for e in simhash.links(nodes, 3, members).collect()])
+        found = np.array([(e.a, e.b) for e in simhash.links(nodes, Store(spark), 3, members).collect()])
         assert (np.bitwise_count(fp[found[:, 0]] ^ fp[found[:, 1]]) >= 1).all()
         assert (simhash.roots(len(fp), found[:, 0], found[:, 1]) == expect).all()
 

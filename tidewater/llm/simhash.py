@@ -184,37 +184,43 @@ def pair_of(own: Column, bits: int, low: int = 0) -> Column:
     return F.array(*meet, *[F.struct(F.least(own, x).alias("p"), F.greatest(own, x).alias("q"), (own > x).cast("int").alias("side"), F.lit(True).alias("split")) for x in other])
 
 
-def links(nodes: DataFrame, radius: int = 3, members: int = 2048) -> DataFrame:
+def links(nodes: DataFrame, store: Store, radius: int = 3, members: int = 2048) -> DataFrame:
     """Of nodes (fp, node): a, b with a > b, which connect all nodes within the radius."""
     if radius > 3:
         raise ValueError("cells meet cells that differ in one bit, which is half of a radius of 3")
     bits = min(32, max(0, math.ceil(math.log2(max(1, nodes.count()) / members))))
     turned = F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
     both = nodes.select("node", F.explode(F.array(F.struct(F.lit(0).alias("order"), "fp"), F.struct(F.lit(1).alias("order"), turned.alias("fp")))).alias("x")).select("node", "x.order", "x.fp")
-    half = F.shiftrightunsigned("fp", 32)  # the upper one
-    cells = both.withColumn("x", F.explode(pair_of(F.shiftrightunsigned("fp", 64 - bits) if bits else F.lit(0).cast("long"), bits)))
-    cells = cells.select("node", "fp", "x.side", "x.split", F.xxhash64("order", "x.p", "x.q").alias("key"))
-
-    def large(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > members)
-
-    # cells of different leading bits have the rest of the half in common, cells by themselves all but one of its bits
-    rest = half.bitwiseAND(F.lit((1 << 32 - bits) - 1))
-    marked = cells.join(large(cells), "key", "left")
+    both = both.withColumn("cell", F.shiftrightunsigned("fp", 64 - bits) if bits else F.lit(0).cast("long"))
+
+    def large(rows: DataFrame, name: str, *key: str) -> DataFrame:
+        """Groups above ``members``: stored, and so few (a row for each ``members`` fingerprints at most) that they are
+        broadcast up to a million."""
+        found = store.put(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > members), name)
+        return F.broadcast(found) if found.count() <= 1_000_000 else found
+
+    hot = large(both, "large_cells", "order", "cell").select("order", "cell", F.lit(True).alias("hot"))
+    cells = both.withColumn("x", F.explode(pair_of(F.col("cell"), bits))).select("node", "fp", "order", "x.*")
+    for c in "pq":
+        cells = cells.join(hot.select("order", F.col("cell").alias(c), F.col("hot").alias(f"hot_{c}")), ["order", c], "left")
+    is_hot = F.coalesce("hot_p", "hot_q", F.lit(False))
+    cells = cells.select("node", "fp", "side", "split", F.xxhash64("order", "p", "q").alias("key"), is_hot.alias("hot"))
+
+    # large cells of different leading bits have the rest of the half in common, those by themselves all but one of its bits
+    rest = F.shiftrightunsigned("fp", 32).bitwiseAND(F.lit((1 << 32 - bits) - 1))
     equal = F.array(F.struct(rest.alias("p"), rest.alias("q"), F.col("side").alias("side"), F.col("split").alias("split")))
-    finer = marked.where("n is not null").withColumn("x", F.explode(F.when(F.col("split"), equal).otherwise(pair_of(rest, 32 - bits))))
+    finer = cells.where("hot").withColumn("x", F.explode(F.when(F.col("split"), equal).otherwise(pair_of(rest, 32 - bits))))
     finer = finer.select("node", "fp", "x.side", "x.split", F.xxhash64("key", "x.p", "x.q").alias("key"))
-    cells = marked.where("n is null").drop("n").unionByName(finer)
-
-    # what is still large: pairs of parts, each found by sides and parts alike
-    marked = cells.join(large(cells).select("key", F.ceil(F.col("n") / members).cast("int").alias("parts")), "key", "left")
-    part = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int")
-    dealt = marked.where("parts is not null").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    # members of two cells meet in both orders of their parts, those of one cell in one
-    p, q = F.when(F.col("split") & (F.col("side") == 1), F.col("other")).otherwise(F.col("part")), F.when(F.col("split") & (F.col("side") == 1), F.col("part")).otherwise(F.col("other"))
+
+    # what is still large: pairs of parts. Members of two cells meet in both orders of their parts, those of one cell in one
+    parts = large(finer, "large_groups", "key").select("key", F.ceil(F.col("n") / members).cast("int").alias("parts"))
+    finer = finer.join(parts, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    finer = finer.withColumn("part", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    turn = F.col("split") & (F.col("side") == 1)
+    p, q = F.when(turn, F.col("other")).otherwise(F.col("part")), F.when(turn, F.col("part")).otherwise(F.col("other"))
     p, q = F.when(F.col("split"), p).otherwise(F.least(p, q)), F.when(F.col("split"), q).otherwise(F.greatest(p, q))
-    parted = dealt.select("node", "fp", F.xxhash64("key", p, q).alias("key"), F.when(F.col("split"), F.col("side")).otherwise(F.col("part")).alias("side"), (F.col("split") | (p != q)).alias("split"))
-    keyed = marked.where("parts is null").select("node", "fp", "key", "side", "split").unionByName(parted)
+    finer = finer.select("node", "fp", F.xxhash64("key", p, q).alias("key"), F.when(F.col("split"), F.col("side")).otherwise(F.col("part")).alias("side"), (F.col("split") | (p != q)).alias("split"))
+    keyed = cells.where("not hot").select("node", "fp", "key", "side", "split").unionByName(finer.select("node", "fp", "key", "side", "split"))
     dealt = keyed.repartition("key").sortWithinPartitions("key", gray_rank(F.col("fp")))
 
     def solve(fp: np.ndarray, node: np.ndarray, key: np.ndarray, side: np.ndarray, split: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -283,7 +289,7 @@ def group(docs: DataFrame, width: int = 3, radius: int = 3, members: int = 2048)
     store = Store(docs.sparkSession)
     marked = store.put(fingerprint(docs, width), "fingerprints")
     nodes = store.put(marked.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
-    roots_ = components(store, links(nodes, radius, members))
+    roots_ = components(store, links(nodes, store, radius, members))
     named = nodes.join(roots_, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
