@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import decontaminate, language_id, line_templates, minhash, queries, simhash
-from tidewater.llm.common import SPACE_CHARS, Store, fold, table
+from tidewater.llm.common import SPACE_CHARS, Store, fold, table, unused
 
 #: Share of the likeliest language; with four languages and nothing known it is a quarter.
 LEAST_SHARE = 0.35
@@ -32,22 +32,36 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return left.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
+def text_key() -> Column:
+    """A hash of the whole text, a null one as empty: what a row is judged by, whatever its id."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies; documents without an id stay.
+    """The document of the smallest id of each group of near copies, and one row of it.
 
-    Near copies have fingerprints within the radius of ``simhash``, or 0.8 and more of their 5-word shingles in common.
+    Near copies have fingerprints within the radius of ``simhash``, or 0.8 and more of their 5-word shingles in common. Rows
+    without an id are compared like others and leave for any row with one; rows of one id with unlike texts all stay.
     """
-    store = Store(spark)
-    near = simhash.group(docs).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").cast("long").alias("a"), F.col("component_id").cast("long").alias("b"))
-    rest = simhash.components(store, near.unionByName(minhash.links(docs, store)).distinct()).select(F.col("node").alias("doc_id")).distinct()
-    once = docs.where("doc_id is not null").join(rest, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    store, key = Store(spark), text_key()
+    texts = docs.select(key.alias("doc_id"), "text")
+    near = simhash.group(texts).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    roots = simhash.components(store, near.unionByName(minhash.links(texts, store)).distinct())
+    rows = docs.select("doc_id", key.alias("key"), F.xxhash64("doc_id", F.col("doc_id").isNull(), key).alias("row")).distinct()
+    rows = rows.join(roots.withColumnRenamed("node", "key"), "key", "left")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "row")).alias("x")
+    stay = store.put(rows.groupBy(F.coalesce("root", "key")).agg(least).select("x.row"), "stay")
+    row = unused("row", docs.columns)
+    marked = docs.withColumn(row, F.xxhash64("doc_id", F.col("doc_id").isNull(), key))
+    return marked.join(stay.withColumnRenamed("row", row), row, "left_semi").dropDuplicates([row]).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    held = decontaminate.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item; each row is judged by its text, with or without an id."""
+    texts = docs.select(text_key().alias("doc_id"), "text")
+    key = unused("key", docs.columns)
+    held = decontaminate.find(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key)).distinct()
+    return docs.withColumn(key, text_key()).join(held, key, "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
