@@ -510,6 +510,27 @@ def test_near_copies_from_the_similarity_on_leave(spark):
     assert sum(v >= 0.8 for v in like.values()) > 15 and any(k in left for k, v in like.items() if v < 0.7)
 
 
+def test_near_copies_without_ids_and_of_one_id(spark):
+    import corpus_pipeline
+
+    base, other, third = prose(200, 6001), prose(200, 6002), prose(200, 6003)
+    near = " ".join(changed(base.split(), {50, 150}))
+    rows = [(7, base), (None, near), (None, third), (None, third), (4, other), (4, prose(200, 6004)), (4, other), (9, None), (8, ""), (3, near)]
+    got = corpus_pipeline.dedupe_documents(spark, frame(spark, rows), "").collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in got) == sorted([("3", near), ("None", third), ("4", other), ("4", prose(200, 6004)), ("8", "")])
+    assert set(got[0].asDict()) == {f.split()[0] for f in SCHEMA.split(", ")}
+
+
+def test_contaminated_rows_without_ids_leave(spark, tmp_path):
+    import corpus_pipeline
+
+    item = prose(40, 900)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, prose(20, 1) + " " + item), (None, prose(50, 2)), (5, item), (5, prose(60, 3)), (6, None)]
+    got = corpus_pipeline.drop_benchmark(spark, frame(spark, rows), str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([rows[1], rows[3], rows[4]])
+
+
 def test_pipeline_keeps_and_drops(spark, tmp_path):
     import corpus_pipeline
 
