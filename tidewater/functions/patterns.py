@@ -34,11 +34,17 @@ def whole_word(term: str, case_sensitive: bool = False) -> str:
     return ("" if case_sensitive else "(?iu)") + (f"(?<![{WORD}])" if left else "") + quoted(term) + (f"(?![{WORD}])" if right else "")
 
 
-def hashtag(tag: str) -> str:
+def chamber(name: Column) -> Column:
+    """Senate, House or null, whatever the spelling: of a member's title, a chamber's name or its initial."""
+    low = F.lower(F.trim(name))
+    return F.when(low.rlike(r"^(?:u\.?s\.? )?sen|^s$|upper"), "Senate").when(low.rlike(r"^(?:u\.?s\.? )?(?:house|rep|congress)|^h$|lower"), "House")
+
+
+def hashtag(tag: str, case_sensitive: bool = False) -> str:
     tag = tag.removeprefix("#")
     if not re.fullmatch(r"\w+", tag):
         raise ValueError(f"{tag!r} is no hashtag")
-    return f"(?iu)#{quoted(tag)}(?:[^{WORD}]|$)"
+    return f"{'' if case_sensitive else '(?iu)'}#{quoted(tag)}(?:[^{WORD}]|$)"
 
 
 def preview_term(keyword: str) -> str:
@@ -107,3 +113,8 @@ def canonical_url(url: Column) -> Column:
     path = F.regexp_replace(F.regexp_extract(bare, "^[a-zA-Z]+://[^/?]*([^?]*)", 1), "/$", "")
     query = F.array_join(F.filter(F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&"), lambda x: (x != "") & ~x.startswith("utm_")), "&")
     return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+
+
+def burst_plain(text: Column) -> Column:
+    """Links, mentions, entities and the mark of a repost become blanks; lower case."""
+    return F.lower(F.regexp_replace(text, r"https?://\S+|@\w+|&\w+;|^RT\b", " "))

@@ -16,18 +16,30 @@ def bucket(t: Column, size: int) -> Column:
     return (F.floor(t / size) * size).cast("long")
 
 
+def moments(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each post in each group: publications, net change and its latest score with its time; these merge over groups."""
+    order = F.struct("t", F.when(F.col("kind") == "post", 0).otherwise(1).alias("o"), "event_id", "score")
+    return events.groupBy(*keys, "target", "post").agg(
+        F.count_if(F.col("kind") == "post").alias("published"), F.sum(F.when(F.col("kind") == "like", F.col("delta")).otherwise(0)).alias("net"), F.max(F.when(F.col("score").isNotNull(), order)).alias("latest"),
+    )
+
+
+def weighed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("score", F.col("latest.score")).withColumn("weight", F.col("published") + F.log1p(F.greatest(F.lit(0), F.col("net")).cast("double")))
+
+
 def per_post(events: DataFrame, keys: list[str]) -> DataFrame:
     """Of each post in each group: publications, net change, latest score and weight."""
-    order = F.struct("t", F.when(F.col("kind") == "post", 0).otherwise(1).alias("o"), "event_id")
-    rows = events.groupBy(*keys, "target", "post").agg(
-        F.count_if(F.col("kind") == "post").alias("published"), F.sum(F.when(F.col("kind") == "like", F.col("delta")).otherwise(0)).alias("net"), F.max_by("score", order).alias("score"),
-    )
-    return rows.withColumn("weight", F.col("published") + F.log1p(F.greatest(F.lit(0), F.col("net")).cast("double")))
+    return weighed(moments(events, keys))
 
 
 def aggregate(events: DataFrame, keys: list[str]) -> DataFrame:
     """Of each target (and group): posts, active posts, weight, weighted mean, spread, traction and the top post."""
-    rows = per_post(events, keys)
+    return summed(per_post(events, keys), keys)
+
+
+def summed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The aggregate of posts as of ``per_post``."""
     w, s = F.col("weight"), F.col("score")
     out = rows.groupBy(*keys, "target").agg(
         F.sum("published").alias("volume"), F.count_if(w > 0).alias("active"), F.sum(w).alias("w"), F.sum(w * s).alias("ws"), F.sum(w * s * s).alias("wss"),
@@ -48,10 +60,12 @@ def bucketed(events: DataFrame, size: int) -> DataFrame:
 
 
 def trailing(events: DataFrame, span: int, step: int) -> DataFrame:
-    """The aggregate over the last ``span`` at every ``step``: each event falls in span / step windows."""
-    first = bucket(F.col("t"), step) + step
-    ends = events.withColumn("until", F.explode(F.sequence(first, first + (span - step), F.lit(step))))
-    return aggregate(ends, ["until"])
+    """The aggregate over the last ``span`` at every ``step``: posts are summed by step first, and each step's sums fall in
+    span / step windows."""
+    steps = moments(events.withColumn("step", bucket(F.col("t"), step)), ["step"])
+    ends = steps.withColumn("until", F.explode(F.sequence(F.col("step") + step, F.col("step") + span, F.lit(step))))
+    merged = ends.groupBy("until", "target", "post").agg(F.sum("published").alias("published"), F.sum("net").alias("net"), F.max("latest").alias("latest"))
+    return summed(weighed(merged), ["until"])
 
 
 def filled(series: DataFrame, size: int, columns: list[str]) -> DataFrame:

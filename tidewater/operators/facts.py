@@ -84,10 +84,14 @@ def repeats(rows: DataFrame, key: Column) -> DataFrame:
     return rows.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("times")).groupBy("times").agg(F.count(F.lit(1)).alias("keys"))
 
 
-def keyword_hits(posts: DataFrame, text: str, keywords: dict[str, str]) -> DataFrame:
-    """One row for each post and keyword whose pattern its text matches, in one pass."""
-    found = F.array(*[F.when(F.col(text).rlike(p), F.lit(k)) for k, p in keywords.items()])
-    return posts.withColumn("keyword", F.explode(F.array_compact(found)))
+def keyword_hits(posts: DataFrame, text: str, keywords: dict[str, str], literals: dict[str, str] | None = None) -> DataFrame:
+    """One row for each post and keyword whose pattern its text matches, in one pass.
+
+    ``literals`` has, in lower case, what a text must contain for a keyword's pattern to match: a cheap look before it.
+    """
+    low = F.lower(text)
+    hits = {k: (low.contains(literals[k]) & F.col(text).rlike(p)) if literals and k in literals else F.col(text).rlike(p) for k, p in keywords.items()}
+    return posts.withColumn("keyword", F.explode(F.array_compact(F.array(*[F.when(hit, F.lit(k)) for k, hit in hits.items()]))))
 
 
 def pivoted(rows: DataFrame, key: str, series: str, names: Sequence[str]) -> DataFrame:

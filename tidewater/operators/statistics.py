@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.sources import scratch
+
 
 def stratified_shift(rows: DataFrame, topic: str, stratum: str, late: str, value: str) -> DataFrame:
     """Mean change between periods over strata weighted by their smaller count, with its standard error."""
@@ -18,12 +20,28 @@ def stratified_shift(rows: DataFrame, topic: str, stratum: str, late: str, value
     return s.groupBy(topic).agg(F.round(shift, 4).alias("shift"), F.round(error, 4).alias("error"))
 
 
+def ranked(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows``, stored, with ``part`` (a range of the order), ``place`` in the whole order from 1 on, and ``n``, all rows.
+
+    Ranges are numbered in parallel; only their sizes, one row a range, meet to give each range its first place.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = scratch.put(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    every = Window.orderBy("part")
+    before = sizes.select("part", (F.sum("size").over(every) - F.col("size")).alias("before"), F.sum("size").over(Window.partitionBy()).alias("n"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return dealt.join(F.broadcast(before), "part").withColumn("place", own + F.col("before")).drop("before")
+
+
 def benjamini_hochberg(tests: DataFrame, key: str, p: str) -> DataFrame:
-    """q-values of one family of tests, a table of one row a topic; the ranking is global by definition."""
-    up = Window.orderBy(p, key)
-    ranked = tests.select(key, p, F.row_number().over(up).alias("i"), tests.agg(F.count(F.lit(1))).scalar().alias("n"))
-    q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("n") / F.col("i")).over(Window.orderBy(F.desc("i"))))
-    return ranked.select(key, F.round(p, 6).alias("p"), F.round(q, 6).alias("q"))
+    """q-values of one family of tests: the least p * n / place from here on, by ranges of the order."""
+    rows = ranked(tests.select(key, p), p, key).withColumn("x", F.col(p) * F.col("n") / F.col("place"))
+    least = rows.groupBy("part").agg(F.min("x").alias("x"))
+    later = least.select("part", F.min("x").over(Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    here = F.min("x").over(Window.partitionBy("part").orderBy(F.desc("place")))
+    q = F.least(F.lit(1.0), here, F.col("later"))
+    return rows.join(F.broadcast(later), "part").select(key, F.round(p, 6).alias("p"), F.round(q, 6).alias("q"))
 
 
 def weighted_trend(rows: DataFrame, key: str) -> DataFrame:

@@ -177,12 +177,21 @@ def hash_sample(spark: SparkSession, d: str) -> DataFrame:
     return sample.bernoulli(posts(spark, d), F.col("id"), 100).select("id")
 
 
-@query("T6_allocation", f"WITH p AS ({POSTS}), n AS (SELECT day, count(*) AS n FROM p GROUP BY day), t AS (SELECT sum(n) AS t, count(*) AS d FROM n), q AS (SELECT day, n, least(n, 1 + CAST(floor((least(3000, t) - d) * n / CAST(t AS DOUBLE)) AS BIGINT)) AS quota FROM n, t) SELECT day, n, CAST(quota AS BIGINT) AS quota FROM q")
+QUOTAS = f"""p AS ({POSTS}), n AS (SELECT day, count(*) AS n FROM p GROUP BY day),
+r AS (SELECT *, row_number() OVER (ORDER BY n, day) AS i, CAST(sum(n) OVER (ORDER BY n, day ROWS UNBOUNDED PRECEDING) - n AS BIGINT) AS taken, count(*) OVER () AS d, CAST(sum(n) OVER () AS BIGINT) AS t FROM n),
+w AS (SELECT *, bool_and(t <= 3000 OR n * (d - i + 1) <= 3000 - taken) OVER (ORDER BY i) AS whole FROM r),
+z AS (SELECT *, CAST(3000 - sum(CASE WHEN whole THEN n ELSE 0 END) OVER () AS BIGINT) AS rest, count(*) FILTER (WHERE NOT whole) OVER () AS m, CAST(sum(CASE WHEN whole THEN 0 ELSE n END) OVER () AS BIGINT) AS weight, row_number() OVER (PARTITION BY whole ORDER BY n DESC, day) AS busy FROM w),
+b AS (SELECT *, CASE WHEN whole THEN 0 ELSE (rest - m) * n // weight END AS base, CASE WHEN whole THEN 0 ELSE (rest - m) * n % weight END AS over FROM z),
+e AS (SELECT *, row_number() OVER (PARTITION BY whole ORDER BY over DESC, n DESC, day) AS k, CAST(rest - m - sum(base) OVER () AS BIGINT) AS spare FROM b),
+q AS (SELECT day, n, CAST(CASE WHEN whole THEN n WHEN rest < m THEN CAST(busy <= rest AS INT) ELSE least(n, 1 + base + CAST(k <= spare AS INT)) END AS BIGINT) AS quota FROM e)"""
+
+
+@query("T6_allocation", f"WITH {QUOTAS} SELECT day, n, quota FROM q")
 def allocation(spark: SparkSession, d: str) -> DataFrame:
     return sample.quotas(posts(spark, d), "day", 3000)
 
 
-@query("T7_stratified_sample", f"WITH p AS ({POSTS}), n AS (SELECT day, count(*) AS n FROM p GROUP BY day), t AS (SELECT sum(n) AS t, count(*) AS d FROM n), q AS (SELECT day, least(n, 1 + CAST(floor((least(3000, t) - d) * n / CAST(t AS DOUBLE)) AS BIGINT)) AS quota FROM n, t) SELECT id, p.day FROM p JOIN q ON p.day = q.day QUALIFY row_number() OVER (PARTITION BY p.day ORDER BY {HASH}, id) <= max(quota) OVER (PARTITION BY p.day)")
+@query("T7_stratified_sample", f"WITH {QUOTAS} SELECT id, p.day FROM p JOIN q ON p.day = q.day QUALIFY row_number() OVER (PARTITION BY p.day ORDER BY {HASH}, id) <= max(quota) OVER (PARTITION BY p.day)")
 def stratified(spark: SparkSession, d: str) -> DataFrame:
     return sample.stratified(posts(spark, d), "day", "id", 3000).select("id", "day")
 
@@ -209,9 +218,9 @@ def difference(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).exceptAll(table(spark, d, "orders").select("o_custkey"))
 
 
-@query("U7_calendar_spine", f"WITH p AS ({POSTS} WHERE o_orderkey % 50 = 0), s AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM p) SELECT day, count(id) AS n FROM s LEFT JOIN p USING (day) GROUP BY day")
+@query("U7_calendar_spine", f"WITH p AS ({POSTS}), s AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM p) SELECT day, count(id) AS n FROM s LEFT JOIN p USING (day) GROUP BY day")
 def spine(spark: SparkSession, d: str) -> DataFrame:
-    p = posts(spark, d).where("id % 50 = 0")
+    p = posts(spark, d)
     days = p.agg(F.explode(F.sequence(F.min("day"), F.max("day"), F.expr("interval 1 day"))).alias("day"))
     return days.join(p.groupBy("day").agg(F.count(F.lit(1)).alias("n")), "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
 

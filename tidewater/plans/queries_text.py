@@ -27,7 +27,7 @@ def word(spark: SparkSession, d: str) -> DataFrame:
 
 @query("F14_A30_keyword_hits", "WITH k(keyword, p) AS (VALUES ('idiot', '(?i)\\bidiot\\b'), ('licensed', '(?i)licensed'), ('the', '(?i)\\bthe\\b')) SELECT keyword, count(*) AS docs, count(DISTINCT source) AS sources, CAST(sum(n_chars) AS BIGINT) AS chars, round(count(*) FILTER (WHERE lang = 'en') / CAST(count(*) AS DOUBLE), 6) AS english FROM documents JOIN k ON regexp_matches(text, p) GROUP BY keyword")
 def keywords(spark: SparkSession, d: str) -> DataFrame:
-    hits = facts.keyword_hits(docs(spark, d), "text", {"idiot": pat.whole_word("idiot"), "licensed": pat.substring("licensed"), "the": pat.whole_word("the")})
+    hits = facts.keyword_hits(docs(spark, d), "text", {"idiot": pat.whole_word("idiot"), "licensed": pat.substring("licensed"), "the": pat.whole_word("the")}, {"idiot": "idiot", "licensed": "licensed", "the": "the"})
     return hits.groupBy("keyword").agg(F.count(F.lit(1)).alias("docs"), F.count_distinct("source").alias("sources"), F.sum("n_chars").alias("chars"), F.round(F.count_if(F.col("lang") == "en") / F.count(F.lit(1)), 6).alias("english"))
 
 
