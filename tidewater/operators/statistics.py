@@ -52,22 +52,39 @@ def weighted_trend(rows: DataFrame, key: str) -> DataFrame:
     return s.select(key, F.round(F.try_divide(c, vx), 6).alias("slope"), F.round(F.col("sy") / F.col("s"), 6).alias("mean"), F.round(F.try_divide(c * c, vx * vy), 6).alias("r2"))
 
 
+def fitted_trend(rows: DataFrame, key: str) -> DataFrame:
+    """Weighted least squares of y on x by key and for all rows together (key ``all``): slope, fitted ends, change, extremes.
+
+    Sums are centred by the weighted means of a first pass, so large x don't cancel.
+    """
+    both = rows.select(key, "x", "y", "w").unionByName(rows.select(F.lit("all").alias(key), "x", "y", "w"))
+    x, y, w = (F.col(c) for c in "xyw")
+    means = both.groupBy(key).agg((F.sum(w * x) / F.sum(w)).alias("mx"), (F.sum(w * y) / F.sum(w)).alias("my"))
+    dx, dy = x - F.col("mx"), y - F.col("my")
+    s = both.join(means, key).groupBy(key, "mx", "my").agg(F.try_divide(F.sum(w * dx * dy), F.sum(w * dx * dx)).alias("b"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("low"), F.max("y").alias("high"))
+    b = F.coalesce("b", F.lit(0.0))
+    at = lambda c: F.round(F.col("my") + b * (F.col(c) - F.col("mx")), 6)
+    return s.select(key, F.round(b, 6).alias("slope"), at("x0").alias("start"), at("x1").alias("end"), F.round(b * (F.col("x1") - F.col("x0")), 6).alias("change"), "low", "high")
+
+
 def poisson_interval(hits: Column, scale: float) -> tuple[Column, Column]:
     """95 % limits of a count times ``scale``; of no hits: 0 to 3 times the scale."""
     half = 1.96 * F.sqrt(hits)
     return F.when(hits == 0, 0.0).otherwise(F.greatest(F.lit(0), hits - half) * scale), F.when(hits == 0, 3.0 * scale).otherwise((hits + half) * scale)
 
 
-def cluster_bootstrap(rows: DataFrame, topic: str, author: str, late: str, value: str, draws: int = 1000, bins: int = 2000, seed: int = 7) -> DataFrame:
+def cluster_bootstrap(rows: DataFrame, topic: str, author: str, late: str, value: str, draws: int = 1000, bins: int = 2000, seed: int = 7, least: int = 10) -> DataFrame:
     """Interval of the mean difference between periods, drawing clusters of authors with replacement.
 
     Authors are hashed into ``bins`` clusters, whose sums are computed in the cluster; the draws see ``bins`` rows a
-    topic at most, whatever the corpus.
+    topic at most, whatever the corpus. Topics of fewer than ``least`` rows in a period have no interval.
     """
     cluster = rows.groupBy(topic, F.pmod(F.xxhash64(author), F.lit(bins)).alias("bin")).agg(*[f(F.when(F.col(late) == flag, F.col(value))).cast("double").alias(f"{n}{int(flag)}") for flag in (False, True) for n, f in (("s", F.sum), ("n", F.count))])
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.fillna(0.0).sort_values("bin")
+        if pdf["n0"].sum() < least or pdf["n1"].sum() < least:
+            return pd.DataFrame({topic: [pdf[topic].iloc[0]], "lo": [np.nan], "hi": [np.nan]})
         times = np.random.default_rng(seed).multinomial(len(pdf), np.full(len(pdf), 1 / len(pdf)), draws)
         sums = times @ pdf[["s0", "n0", "s1", "n1"]].to_numpy()
         ok = (sums[:, 1] > 0) & (sums[:, 3] > 0)

@@ -167,14 +167,14 @@ def group_shares(spark: SparkSession, d: str) -> DataFrame:
     return facts.with_shares(table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), [])
 
 
-@query("G1_bursts", f"WITH {DAYS}, r AS (SELECT *, CASE WHEN day < DATE '1995-01-01' THEN 'before' ELSE 'from' END AS regime FROM fact JOIN days USING (day)), t AS (SELECT CASE WHEN day < DATE '1995-01-01' THEN 'before' ELSE 'from' END AS regime, sum(all_tweets) AS regime_tweets FROM days GROUP BY 1), s AS (SELECT *, sum(tweets) OVER (PARTITION BY topic, r.regime) AS topic_tweets FROM r JOIN t ON r.regime = t.regime), k AS (SELECT topic, regime, day, tweets, round(log2(((tweets + 0.5::DOUBLE) / (all_tweets + 1)) / ((topic_tweets - tweets + 0.5::DOUBLE) / (regime_tweets - all_tweets + 1))) * ln(1 + tweets), 6) AS score FROM s WHERE tweets >= 2) SELECT topic, regime, day, tweets, score FROM k QUALIFY row_number() OVER (PARTITION BY topic, regime ORDER BY score DESC, day) = 1")
+@query("G1_bursts", f"WITH {DAYS}, r AS (SELECT *, CASE WHEN day < DATE '1996-07-01' THEN 'before' ELSE 'from' END AS regime FROM fact JOIN days USING (day)), t AS (SELECT CASE WHEN day < DATE '1996-07-01' THEN 'before' ELSE 'from' END AS regime, sum(all_tweets) AS regime_tweets FROM days GROUP BY 1), s AS (SELECT *, sum(tweets) OVER (PARTITION BY topic, r.regime) AS topic_tweets FROM r JOIN t ON r.regime = t.regime), k AS (SELECT topic, regime, day, tweets, round(log2(((tweets + 0.5::DOUBLE) / (all_tweets + 1)) / ((topic_tweets - tweets + 0.5::DOUBLE) / (regime_tweets - all_tweets + 1))) * ln(1 + tweets), 6) AS score FROM s WHERE tweets >= 2) SELECT topic, regime, day, tweets, score FROM k QUALIFY row_number() OVER (PARTITION BY topic, regime ORDER BY score DESC, day) = 1")
 def bursts(spark: SparkSession, d: str) -> DataFrame:
-    return facts.bursts(*_facts(spark, d), "1995-01-01", 2)
+    return facts.bursts(*_facts(spark, d), "1996-07-01", 2)
 
 
-@query("G7_stratified_shift", f"WITH p AS ({POSTS}), s AS (SELECT status, lang, created_at >= TIMESTAMP '1995-01-01' AS late, count(*) AS n, avg(likes) AS m, var_samp(likes) AS v FROM p GROUP BY ALL), w AS (SELECT a.status, least(a.n, b.n) AS w, b.m - a.m AS d, a.v / a.n + b.v / b.n AS e FROM s a JOIN s b ON a.status = b.status AND a.lang = b.lang AND NOT a.late AND b.late WHERE a.n > 1 AND b.n > 1) SELECT status, round(sum(w * d) / sum(w), 4) AS shift, round(sqrt(sum(w * w * e)) / sum(w), 4) AS error FROM w GROUP BY status")
+@query("G7_stratified_shift", f"WITH p AS ({POSTS}), s AS (SELECT status, lang, created_at >= TIMESTAMP '1996-07-01' AS late, count(*) AS n, avg(likes) AS m, var_samp(likes) AS v FROM p GROUP BY ALL), w AS (SELECT a.status, least(a.n, b.n) AS w, b.m - a.m AS d, a.v / a.n + b.v / b.n AS e FROM s a JOIN s b ON a.status = b.status AND a.lang = b.lang AND NOT a.late AND b.late WHERE a.n > 1 AND b.n > 1) SELECT status, round(sum(w * d) / sum(w), 4) AS shift, round(sqrt(sum(w * w * e)) / sum(w), 4) AS error FROM w GROUP BY status")
 def strata(spark: SparkSession, d: str) -> DataFrame:
-    rows = posts(spark, d).withColumn("late", F.col("created_at") >= F.expr("timestamp_ntz '1995-01-01'"))
+    rows = posts(spark, d).withColumn("late", F.col("created_at") >= F.expr("timestamp_ntz '1996-07-01'"))
     return statistics.stratified_shift(rows, "status", "lang", "late", "likes")
 
 
@@ -210,7 +210,7 @@ def poisson(spark: SparkSession, d: str) -> DataFrame:
 
 @query("G6_cluster_bootstrap")
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    rows = posts(spark, d).withColumn("late", F.col("created_at") >= F.expr("timestamp_ntz '1995-01-01'"))
+    rows = posts(spark, d).withColumn("late", F.col("created_at") >= F.expr("timestamp_ntz '1996-07-01'"))
     return statistics.cluster_bootstrap(rows, "lang", "author_id", "late", "likes")
 
 
