@@ -32,4 +32,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.spikes(facts.topic_days(rows, F.array("lang")), days, 2)
 
 
-from tidewater.plans import queries_activity, queries_facts, queries_feed, queries_files, queries_relational, queries_reports, queries_text  # noqa: E402, F401  fill the catalog
+from tidewater.plans import queries_activity, queries_facts, queries_feed, queries_files, queries_relational, queries_reports, queries_service, queries_text  # noqa: E402, F401  fill the catalog

@@ -172,7 +172,7 @@ def bubbles(spark: SparkSession, d: str) -> DataFrame:
     return reports.bubbles(w.select("target", "until", "active", F.round(mean, 4).alias("mean"), F.round(F.sqrt(F.greatest(F.lit(0.0), F.col("b") / F.col("active") - mean * mean)), 3).alias("spread")))
 
 
-@query("G21_T16_cost_and_status", "SELECT round(2000 * (80 + 1000 / 4.0) * 0.1 / 1e6 * 3, 6) AS usd, round(0.5 + 0.25, 6) AS reserved, true AS refused, 'FAILED' AS half, 'READY' AS more")
+@query("G21_T16_cost_and_status", "SELECT round(2000 * (80 + 1000 / 4.0::DOUBLE) * 0.1::DOUBLE / 1e6 * 3, 6) AS usd, 0.75::DOUBLE AS reserved, true AS refused, 'FAILED' AS half, 'READY' AS more")
 def cost(spark: SparkSession, d: str) -> DataFrame:
     from tidewater.operators.feed import run_status
 

@@ -158,7 +158,13 @@ def run_sql(spark: SparkSession, sql: str, views: Collection[str], timeout_s: fl
         spark.sparkContext.addJobTag(tag)
         timer.start()
         df = spark.sql(sql)
-        rows = df.limit(max_rows + 1).collect()
+        try:
+            rows = df.limit(max_rows + 1).collect()
+        except Exception as e:
+            if "SPARK_JOB_CANCELLED" not in str(e):
+                raise
+            entry["status"] = "timeout"
+            raise TimeoutError(f"the query took more than {timeout_s} s") from None
         entry |= {"status": "ok", "rows": len(rows)}
     finally:
         timer.cancel()

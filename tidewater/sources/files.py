@@ -163,7 +163,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     """name, bytes and SHA-256 of each file below ``path``, computed where the files are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.regexp_extract("path", "([^/]+/[^/]+)$", 1)
-    return files.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where("name not like '%/_%'")
+    return files.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where(~F.col("name").rlike("/[_.][^/]*$"))
 
 
 def verified(spark: SparkSession, path: str, expected: DataFrame, tables: Sequence[str], key: str) -> dict[str, DataFrame]:
