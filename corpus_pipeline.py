@@ -49,11 +49,17 @@ def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     roots = simhash.components(store, near.unionByName(minhash.links(texts, store)).distinct())
     rows = docs.select("doc_id", key.alias("key"), F.xxhash64("doc_id", F.col("doc_id").isNull(), key).alias("row")).distinct()
     rows = rows.join(roots.withColumnRenamed("node", "key"), "key", "left")
+    rows = store.put(rows.withColumn("group", F.coalesce("root", "key")), "rows")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "row")).alias("x")
-    stay = store.put(rows.groupBy(F.coalesce("root", "key")).agg(least).select("x.row"), "stay")
+    stay = rows.groupBy("group").agg(least).select("group", F.col("x.row").alias("stays"))
     row = unused("row", docs.columns)
-    marked = docs.withColumn(row, F.xxhash64("doc_id", F.col("doc_id").isNull(), key))
-    return marked.join(stay.withColumnRenamed("row", row), row, "left_semi").dropDuplicates([row]).select(*docs.columns)
+    # of stored lists the planner knows the size: texts are shuffled only where these are too long to be broadcast
+    leave = store.put(rows.join(stay, "group").where("row <> stays").select(F.col("row").alias(row)), "leave")
+    mark = F.xxhash64("doc_id", F.col("doc_id").isNull(), key)
+    again = store.put(docs.select(mark.alias(row)).groupBy(row).count().where("count > 1").select(row), "repeated")
+    left = docs.withColumn(row, mark).join(leave, row, "left_anti")
+    once = left.join(again, row, "left_anti").unionByName(left.join(again, row, "left_semi").dropDuplicates([row]))
+    return once.select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
