@@ -127,7 +127,7 @@ def cut(texts: DataFrame, size: int, most: int, *names: str) -> DataFrame:
     return parts.groupBy("doc_id", *names).agg(F.min("parts").alias("parts")).orderBy("doc_id")
 
 
-def slices(batch: pa.RecordBatch, column: int = 1, rows: int = 2000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int = 1, rows: int = 2000, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most ``rows`` rows and ``size`` bytes of text, one row at least."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("int64"))
     at = 0

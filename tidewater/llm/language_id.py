@@ -157,7 +157,7 @@ class Model:
             on = ~same & (here < end)
             state, lang, block, here, end = state[on], lang[on], block[on], here[on], end[on]
         # from a text's first byte, over the stretches that were met
-        before = np.concatenate([np.zeros((len(self.langs), 1), "int64"), np.cumsum(begins, 1)], 1)
+        before = np.concatenate([np.zeros((len(self.langs), 1), "int32"), np.cumsum(begins, 1, "int32")], 1)
         lang, text = np.nonzero(np.broadcast_to(sizes > 0, counts.shape))
         entry = (text_end - sizes)[text]
         while len(lang):

@@ -62,9 +62,11 @@ def links(docs: DataFrame, store: Store, width: int = WIDTH, similarity: float =
     first = keys.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b < last").select("key", "b")
     first = store.put(first, "first_bands")  # a stored table: its join can be split where a key is hot
     pairs = store.put(keys.join(first, "key").where("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct(), "pairs")
-    texts = texts_of(one_text(docs, store), pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
-    for side in "ab":
-        pairs = pairs.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"{side}_text")), side)
+    # a stored list of ids, whose size the planner knows: only texts of pairs are shuffled
+    ids = store.put(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair_ids")
+    texts = texts_of(one_text(docs, store), ids)
+    for side in "ab":  # pairs and texts grow with the corpus: sorted and merged at every size, and a hot id's part can be split
+        pairs = pairs.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"{side}_text")).hint("merge"), side)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
