@@ -151,12 +151,19 @@ def run_sql(spark: SparkSession, sql: str, views: Collection[str], timeout_s: fl
     began = time.monotonic()
     entry = {"sql": sql, "status": "refused"}
     tag = f"sandbox-{uuid.uuid4().hex}"
-    timer = threading.Timer(timeout_s, lambda: spark.sparkContext.cancelJobsWithTag(tag))
+    done = threading.Event()
+
+    def watch() -> None:
+        late = not done.wait(timeout_s)
+        while late and not done.is_set():  # again and again: a job may not have begun, or be followed by the next
+            spark.sparkContext.cancelJobsWithTag(tag)
+            done.wait(0.5)
+
     try:
         gate(spark, sql, views)
         entry["status"] = "failed"
         spark.sparkContext.addJobTag(tag)
-        timer.start()
+        threading.Thread(target=watch, daemon=True).start()
         df = spark.sql(sql)
         try:
             rows = df.limit(max_rows + 1).collect()
@@ -167,7 +174,7 @@ def run_sql(spark: SparkSession, sql: str, views: Collection[str], timeout_s: fl
             raise TimeoutError(f"the query took more than {timeout_s} s") from None
         entry |= {"status": "ok", "rows": len(rows)}
     finally:
-        timer.cancel()
+        done.set()
         spark.sparkContext.removeJobTag(tag)
         log.info(json.dumps(entry | {"ms": round(1000 * (time.monotonic() - began))}))
 
