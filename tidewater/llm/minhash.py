@@ -3,6 +3,8 @@
 Words as in ``simhash``. The least values of a document's shingles under ``BANDS`` times ``ROWS`` permutations make one key
 for each band. A key links its documents to the first of them (least id), so a large group gives one pair for each
 document and band, not all pairs. A pair stays if the Jaccard similarity of its shingle sets is ``similarity`` or more.
+The two steps are apart, so that a caller who knows some documents to be linked already can leave their pairs out and need
+not move their texts.
 
 Texts without words and rows without id have no pairs; rows with equal ids count as one document.
 """
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import Store, slices
-from tidewater.llm.substring_dedup import one_text, runs_of, texts_of, word_hashes
+from tidewater.llm.substring_dedup import runs_of, word_hashes
 
 WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
 #: Permutations of 64-bit hashes: products with odd numbers.
@@ -47,8 +49,8 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return key.view("int64")
 
 
-def links(docs: DataFrame, store: Store, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b with a > b: ids of documents that are alike."""
+def candidates(docs: DataFrame, store: Store, width: int = WIDTH) -> DataFrame:
+    """a, b with a > b: ids of documents that share the key of a band, the first of which is b."""
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,10 +63,11 @@ def links(docs: DataFrame, store: Store, width: int = WIDTH, similarity: float =
     keys = store.put(rows.mapInArrow(sketch, "key long, doc_id long"), "bands")
     first = keys.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b < last").select("key", "b")
     first = store.put(first, "first_bands")  # a stored table: its join can be split where a key is hot
-    pairs = store.put(keys.join(first, "key").where("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct(), "pairs")
-    # a stored list of ids, whose size the planner knows: only texts of pairs are shuffled
-    ids = store.put(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair_ids")
-    texts = texts_of(one_text(docs, store), ids)
+    return store.put(keys.join(first, "key").where("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct(), "pairs")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """Of pairs (a, b) those that are alike; ``texts`` has doc_id and text, one row for each id of a pair."""
     for side in "ab":  # pairs and texts grow with the corpus: sorted and merged at every size, and a hot id's part can be split
         pairs = pairs.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"{side}_text")).hint("merge"), side)
 
