@@ -44,22 +44,32 @@ def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     without an id are compared like others and leave for any row with one; rows of one id with unlike texts all stay.
     """
     store, key = Store(spark), text_key()
+    mark = F.xxhash64("doc_id", F.col("doc_id").isNull(), key)
+    rows = store.put(docs.select("doc_id", key.alias("key"), mark.alias("row")).distinct(), "rows")
     texts = docs.select(key.alias("doc_id"), "text")
     near = simhash.group(texts).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    roots = simhash.components(store, near.unionByName(minhash.links(texts, store)).distinct())
-    rows = docs.select("doc_id", key.alias("key"), F.xxhash64("doc_id", F.col("doc_id").isNull(), key).alias("row")).distinct()
+    near = store.put(near.distinct(), "near")
+    pairs = minhash.candidates(texts, store)
+    for side in "ab":  # pairs within one group of fingerprints can't join groups, so their texts needn't be moved
+        pairs = pairs.join(near.select(F.col("a").alias(side), F.col("b").alias(f"{side}_root")), side, "left")
+    pairs = store.put(pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "open_pairs")
+    # one row of each text of a pair, found among ids: rows are dealt by their own hash, so copies don't meet in one task
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    firsts = rows.join(ids, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row")).select("row")
+    # lists of rows grow with the corpus: merged at every size, so that the plan doesn't change where one outgrows a broadcast
+    held = docs.select(mark.alias("row"), key.alias("doc_id"), "text").where("text is not null").join(firsts.hint("merge"), "row", "left_semi")
+    alike = minhash.confirmed(pairs, held.groupBy("doc_id").agg(F.min("text").alias("text")))
+    roots = simhash.components(store, near.unionByName(alike).distinct())
     rows = rows.join(roots.withColumnRenamed("node", "key"), "key", "left")
-    rows = store.put(rows.withColumn("group", F.coalesce("root", "key")), "rows")
+    rows = store.put(rows.withColumn("group", F.coalesce("root", "key")), "grouped")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "row")).alias("x")
     stay = rows.groupBy("group").agg(least).select("group", F.col("x.row").alias("stays"))
     row = unused("row", docs.columns)
-    # of stored lists the planner knows the size: texts are shuffled only where these are too long to be broadcast
     leave = store.put(rows.join(stay, "group").where("row <> stays").select(F.col("row").alias(row)), "leave")
-    mark = F.xxhash64("doc_id", F.col("doc_id").isNull(), key)
     again = store.put(docs.select(mark.alias(row)).groupBy(row).count().where("count > 1").select(row), "repeated")
-    left = docs.withColumn(row, mark).join(leave, row, "left_anti")
-    once = left.join(again, row, "left_anti").unionByName(left.join(again, row, "left_semi").dropDuplicates([row]))
-    return once.select(*docs.columns)
+    marked = docs.withColumn(row, mark)
+    once = marked.join(again, row, "left_anti").unionByName(marked.join(again, row, "left_semi").dropDuplicates([row]))
+    return once.join(leave.hint("merge"), row, "left_anti").select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
