@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Store
+from tidewater.llm.common import Store, bit_table
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -84,15 +84,6 @@ def shared(n: int, width: int, similarity: float) -> tuple[int, int]:
     return m, math.ceil(2 * similarity / (1 + similarity) * m - 1e-9)
 
 
-def bit_table(seeds: DataFrame, size: int) -> DataFrame:
-    """One row with ``bits``: an array of ``size`` booleans, true where a shingle's hash falls."""
-    place = F.pmod("h", F.lit(size))
-    used = seeds.groupBy(F.floor(place / 64).alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("word"))
-    every = seeds.sparkSession.range(size // 64).join(used, "id", "left").select("id", F.coalesce("word", F.lit(0)).alias("word"))
-    words = every.agg(F.sort_array(F.collect_list(F.struct("id", "word"))).alias("all")).select(F.col("all.word").alias("words"))
-    return words.select(F.expr("flatten(transform(words, x -> transform(sequence(0, 63), i -> (shiftrightunsigned(x, i) & 1L) = 1L)))").alias("bits"))
-
-
 def find(docs: DataFrame, items: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS, table: int = TABLE) -> DataFrame:
     """doc_id, item_id, start (of the best window, in words), n_words, hamming, similarity; one row for each item in a document."""
     if not 0 < similarity <= 1:
