@@ -13,11 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import decontaminate, language_id, line_templates, minhash, queries, simhash
-from tidewater.llm.common import SPACE_CHARS, Store, fold, table, unused
+from tidewater.llm.common import SPACE_CHARS, Store, bit_table, fold, table, unused
 
 #: Share of the likeliest language; with four languages and nothing known it is a quarter.
 LEAST_SHARE = 0.35
 
+#: Places of the bit tables by which near-dedup knows most rows that a list does not name: 4 MB, whatever the input. A list of n
+#: rows lets through its own and n / 2**22 of the others at most, which an exact join then parts; above the size all are joined.
+PLACES = 1 << 22
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a language can be told."""
@@ -37,6 +41,11 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def maybe_in(listed: DataFrame, row: str) -> Column:
+    """True of all rows that the stored list has, and of few others."""
+    return F.get(bit_table(listed.select(F.col(row).alias("h")), PLACES).scalar(), F.pmod(F.col(row), F.lit(PLACES)).cast("int"))
+
+
 def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near copies, and one row of it.
 
@@ -57,7 +66,9 @@ def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     ids = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     firsts = rows.join(ids, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row")).select("row")
     # lists of rows grow with the corpus: merged at every size, so that the plan doesn't change where one outgrows a broadcast
-    held = docs.select(mark.alias("row"), key.alias("doc_id"), "text").where("text is not null").join(firsts.hint("merge"), "row", "left_semi")
+    firsts = store.put(firsts, "firsts")
+    held = docs.where("text is not null").select(mark.alias("row"), key.alias("doc_id"), "text")
+    held = held.where(maybe_in(firsts, "row")).join(firsts.hint("merge"), "row", "left_semi")
     alike = minhash.confirmed(pairs, held.groupBy("doc_id").agg(F.min("text").alias("text")))
     roots = simhash.components(store, near.unionByName(alike).distinct())
     rows = rows.join(roots.withColumnRenamed("node", "key"), "key", "left")
@@ -69,7 +80,8 @@ def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     again = store.put(docs.select(mark.alias(row)).groupBy(row).count().where("count > 1").select(row), "repeated")
     marked = docs.withColumn(row, mark)
     once = marked.join(again, row, "left_anti").unionByName(marked.join(again, row, "left_semi").dropDuplicates([row]))
-    return once.join(leave.hint("merge"), row, "left_anti").select(*docs.columns)
+    maybe = maybe_in(leave, row)
+    return once.where(~maybe).unionByName(once.where(maybe).join(leave.hint("merge"), row, "left_anti")).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
