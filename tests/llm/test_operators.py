@@ -457,6 +457,21 @@ def test_recall_behind_earlier_pieces(spark):
     assert hits >= 0.9 * len(expect)
 
 
+def test_changed_passages_whose_pieces_all_stand_earlier(spark):
+    """Every place of the seeds is looked at: others hold all pieces, also pieces over the changes, before and after the partner."""
+    rows, expect = [], {}
+    for i in range(10):
+        own, base = [f"r{i}-{j}" for j in range(100)], 1000 * i
+        cuts = [(c, c + 24) for c in range(0, 100, 6)]
+        rows += [(base + 500 * late + c, f"{prose(20, 20_000 + base + 500 * late + c)} {' '.join(own[c:d])} {prose(20, 21_000 + base + 500 * late + c)}") for c, d in cuts for late in (0, 1)]
+        rows.append((base + 200, f"{prose(40, 30_000 + i)} {' '.join(own)} {prose(40, 31_000 + i)}"))
+        rows.append((base + 900, f"{prose(40, 32_000 + i)} {' '.join(changed(own, {14 + i % 5, 47 + i % 7, 80 + i % 3}))} {prose(40, 33_000 + i)}"))
+        expect[base + 900] = base + 200
+    got = {x.doc_id: x for x in substring_dedup.find(frame(spark, rows)).collect()}
+    assert set(expect) <= set(got)
+    assert all(v in got[k].partners and got[k].n_words >= 90 for k, v in expect.items())
+
+
 def test_every_exact_repeat_is_in_a_region(spark):
     """Against all 50-word windows: loops of few words, passages whose parts stand in other documents first, long runs."""
     r = random.Random(8)
