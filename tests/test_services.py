@@ -336,3 +336,24 @@ def test_cost_and_reservation():
 def test_chamber_spellings(spark):
     rows = spark.createDataFrame([(x,) for x in ("House", "rep.", "U.S. Rep", "SENATE", "Sen", "us senator", "S", "h", "other", None)], "c string")
     assert [r[0] for r in rows.select(patterns.chamber(F.col("c"))).collect()] == ["House"] * 3 + ["Senate"] * 4 + ["House", None, None]
+
+
+def test_overlapping_files_by_brute_force(spark):
+    r = random.Random(21)
+    for n, wide in ((0, 1), (1, 5), (40, 1), (40, 2), (40, 3), (40, 200)):
+        lows = sorted(r.sample(range(0, 400, 2), n))
+        rows = [(a, a + r.randint(0, wide)) for a in lows] + [(None, None)]
+        expect = any(a < d and c < b for i, (a, b) in enumerate(rows[:-1]) for c, d in rows[:i])
+        got = files.overlaps(spark.createDataFrame(rows, "low long, high long")).first().n
+        assert (got > 0) == expect
+    assert files.overlaps(spark.createDataFrame([(1, 5), (5, 5), (5, 9)], "low long, high long")).first().n == 0
+
+
+def test_sorted_chunks_are_not_compared_two_by_two(spark):
+    """Pairs of files made a task for each two parts: 450 files, 200,000 tasks."""
+    from tidewater.plans.catalog import QUERIES
+
+    rows = QUERIES["K1_K2_sorted_chunks"](spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert rows.first().asDict() == {"n": 1500, "least_files": 1, "bounded": True, "sorted": True}

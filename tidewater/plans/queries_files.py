@@ -101,10 +101,9 @@ def described(spark: SparkSession, d: str) -> DataFrame:
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     path = scratch.folder(spark)
     files.write_chunks(table(spark, d, "orders").select("o_orderkey"), path, "o_orderkey", 3, 2000)
-    meta = files.footers(spark, files.files_of(spark, path)).select("path", "rows", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
-    apart = meta.alias("a").join(meta.alias("b"), F.expr("a.path < b.path and a.low <= b.high and b.low <= a.high")).agg(F.count(F.lit(1)).alias("n"))
+    meta = scratch.put(files.footers(spark, files.files_of(spark, path)).select("rows", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high")))
     size = meta.agg(F.sum("rows").alias("n"), F.max("rows").alias("most"))
-    return size.select("n", F.ceil(F.col("n") / 2000).alias("least_files"), (F.col("most") <= 2000).alias("bounded"), (apart.scalar() == 0).alias("sorted"))
+    return size.select("n", F.ceil(F.col("n") / 2000).alias("least_files"), (F.col("most") <= 2000).alias("bounded"), (files.overlaps(meta).scalar() == 0).alias("sorted"))
 
 
 @query("K4_report", "SELECT 'status' AS section, o_orderstatus AS k, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'priority', o_orderpriority, count(*) FROM orders GROUP BY ALL")

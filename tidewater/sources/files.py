@@ -56,6 +56,19 @@ def files_of(spark: SparkSession, path: str, suffix: str = ".parquet") -> list[s
     return [p for p in listed(spark, path) if p.endswith(suffix)]
 
 
+def overlaps(meta: DataFrame) -> DataFrame:
+    """One row with ``n``: 0 if no two of the files (low, high) overlap. Ranges may touch, as equal keys may reach over two files.
+
+    Files are dealt by ``low`` and not compared two by two, so only the ends of each part meet in one task.
+    """
+    before = lambda w: F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    dealt = meta.where("low is not null").select("low", "high").repartitionByRange("low").withColumn("part", F.spark_partition_id())
+    own = dealt.withColumn("late", (F.col("low") < before(Window.partitionBy("part").orderBy("low", "high"))).cast("int"))
+    parts = own.groupBy("part").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("late").alias("n"))
+    ends = parts.withColumn("late", (F.col("low") < before(Window.orderBy("part"))).cast("int"))
+    return ends.agg((F.coalesce(F.sum("n"), F.lit(0)) + F.coalesce(F.sum("late"), F.lit(0))).alias("n"))
+
+
 def windowed(spark: SparkSession, path: str, column: str, start: str, end: str) -> DataFrame:
     """Rows of [start, end) from those files alone whose footers say that they may hold some; the predicate stays.
 
