@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import decontaminate, language_id, line_templates, minhash, queries, simhash
-from tidewater.llm.common import SPACE_CHARS, Store, bit_table, fold, table, unused
+from tidewater.llm.common import SPACE_CHARS, Store, bit_words, fold, table, unused
 
 #: Share of the likeliest language; with four languages and nothing known it is a quarter.
 LEAST_SHARE = 0.35
 
-#: Places of the bit tables by which near-dedup knows most rows that a list does not name: 4 MB, whatever the input. A list of n
+#: Places of the bit tables by which near-dedup knows most rows that a list does not name: 512 kB, as the driver holds each table
+#: and sends it with every stage that asks it. A list of n
 #: rows lets through its own and n / 2**22 of the others at most, which an exact join then parts; above the size all are joined.
 PLACES = 1 << 22
 
@@ -43,7 +44,9 @@ def text_key() -> Column:
 
 def maybe_in(listed: DataFrame, row: str) -> Column:
     """True of all rows that the stored list has, and of few others."""
-    return F.get(bit_table(listed.select(F.col(row).alias("h")), PLACES).scalar(), F.pmod(F.col(row), F.lit(PLACES)).cast("int"))
+    place = F.pmod(F.col(row), F.lit(PLACES))
+    word = F.get(bit_words(listed.select(F.col(row).alias("h")), PLACES).scalar(), F.floor(place / 64).cast("int"))
+    return F.call_function("getbit", word, (place % 64).cast("int")) == 1
 
 
 def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -546,6 +546,21 @@ def test_contaminated_rows_without_ids_leave(spark, tmp_path):
     assert Counter((r.doc_id, r.text) for r in got) == Counter([rows[1], rows[3], rows[4]])
 
 
+def test_bit_tables_of_the_pipeline(spark):
+    """All listed rows are in; the table that the driver gets is packed."""
+    import corpus_pipeline
+    from tidewater.llm import common
+
+    r = random.Random(5)
+    listed = [r.getrandbits(64) - (1 << 63) for _ in range(300)] + [-1, 0, 63, 64, -(1 << 63), (1 << 63) - 1]
+    rows = spark.createDataFrame([(x,) for x in listed + [r.getrandbits(64) - (1 << 63) for _ in range(2000)]], "row long")
+    got = {x.row: x.y for x in rows.select("row", corpus_pipeline.maybe_in(spark.createDataFrame([(x,) for x in listed], "row long"), "row").alias("y")).collect()}
+    places = {x % corpus_pipeline.PLACES for x in listed}
+    assert all(y == (x % corpus_pipeline.PLACES in places) for x, y in got.items())
+    table = common.bit_words(rows.select(rows.row.alias("h")), corpus_pipeline.PLACES).first().words
+    assert len(table) * 64 == corpus_pipeline.PLACES
+
+
 def test_pipeline_keeps_and_drops(spark, tmp_path):
     import corpus_pipeline
 
